@@ -156,11 +156,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs without those scored under the threshold, all columns kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def make():
         m = shared.value
-        at = docs.columns.index("text")
         return lambda batch: batch.filter(pa.array([m.score(t.as_py() or "") >= threshold for t in batch.column(at)], pa.bool_()))
 
     return map_texts(docs, "text", docs.schema, make)
