@@ -181,8 +181,8 @@ QUERIES = {
     "chunk_prune_stats": chunk_prune_stats,
     "range_count_minmax_prune": pruned_count(False),
     "range_count_arrival_prune": pruned_count(True),
-    "ts_delta": lambda s, d: chunks.deltas(chunked(s, d)).select("key", "seq", "delta"),
-    "ts_dod": lambda s, d: chunks.deltas(chunked(s, d)).select("key", "seq", "dod"),
+    "ts_delta": lambda s, d: chunks.deltas(chunked(s, d)).select("key", "seq", F.coalesce("delta", F.lit(0)).alias("delta")),
+    "ts_dod": lambda s, d: chunks.deltas(chunked(s, d)).select("key", "seq", F.coalesce("dod", F.lit(0)).alias("dod")),
     "dod_bucket_hist": dod_bucket_hist,
     "ts_stream_bits": lambda s, d: chunks.timestamp_bits(chunked(s, d)),
     "value_xor_zero": value_xor_zero,
@@ -292,8 +292,8 @@ ORACLE_SQL = {
     "chunk_prune_stats": f"WITH {CHO}, {META} SELECT key, count(*) AS chunks, count(*) FILTER (max_ts >= {O_START} AND min_ts <= {O_END}) AS by_time, count(*) FILTER (last_ts >= {O_START} AND first_ts <= {O_END}) AS by_arrival FROM meta GROUP BY key",
     "range_count_minmax_prune": prune_sql("min_ts", "max_ts"),
     "range_count_arrival_prune": prune_sql("first_ts", "last_ts"),
-    "ts_delta": f"WITH {DL} SELECT key, seq, delta FROM dd",
-    "ts_dod": f"WITH {DL} SELECT key, seq, dod FROM dd",
+    "ts_delta": f"WITH {DL} SELECT key, seq, coalesce(delta, 0) AS delta FROM dd",
+    "ts_dod": f"WITH {DL} SELECT key, seq, coalesce(dod, 0) AS dod FROM dd",
     "dod_bucket_hist": f"WITH {DL} SELECT ({BITS})::BIGINT AS bits, count(*) AS n FROM dd GROUP BY 1",
     "ts_stream_bits": f"WITH {DL} SELECT key, chunk_id, sum({BITS})::BIGINT AS ts_bits FROM dd GROUP BY ALL",
     "value_xor_zero": f"WITH {CH}, x AS (SELECT key, value = lag(value) OVER (PARTITION BY key, chunk_id ORDER BY seq) AS same FROM ch) SELECT key, count(*) FILTER (same) AS same FROM x GROUP BY key",
