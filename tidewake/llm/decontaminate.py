@@ -59,22 +59,21 @@ def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """Per row: key, n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = benchmark_windows(benchmark)
     by_length = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most ten rows
-    if sum(by_length.values()) <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
+    small = sum(by_length.values()) <= BROADCAST_WINDOWS
     digest = F.sha2(text_or_empty(text).cast("binary"), 256).alias("digest")
     tokens = documents.select(digest, words(text).alias("w"))
-    parts = []
+    found = None
     for n in sorted(by_length) or [WINDOW]:
-        # One row a window, hashed in generated code; the array of words is only passed along.
+        # One row a window, hashed, looked up and compared in one generated loop; the array of words is only passed along.
         own = tokens.select("digest", "w", F.posexplode("w").alias("at", "word")).filter(F.col("at") <= F.size("w") - n)
         own = own.select("digest", "w", "at", F.xxhash64(F.slice("w", F.col("at") + 1, n)).alias("h"))
-        parts.append(own.withColumn("n", F.lit(n)))
-    looked = parts[0]
-    for p in parts[1:]:
-        looked = looked.unionByName(p)
-    # Two inequalities: an equality would become a join key and be built for every window, not for hits alone.
-    here = F.slice("w", F.col("at") + 1, F.col("n"))
-    found = looked.join(windows, ["h", "n"]).filter((here <= F.col("gram")) & (here >= F.col("gram")))
+        if not small:  # the rows are shuffled then, and must not carry a whole document each
+            own = own.select("digest", "at", "h", F.slice("w", F.col("at") + 1, n).alias("here"))
+        here = F.slice("w", F.col("at") + 1, n) if small else F.col("here")
+        wanted = windows.filter(F.col("n") == n).drop("n")
+        # Two inequalities: an equality would become a join key and be built for every window, not for hits alone.
+        hit = own.join(F.broadcast(wanted) if small else wanted, "h").filter((here <= F.col("gram")) & (here >= F.col("gram"))).select("digest", "at", F.lit(n).alias("n"), "items")
+        found = hit if found is None else found.unionByName(hit)
     # A text's hits are no more than its words.
     by_text = (
         found.groupBy("digest")
