@@ -100,7 +100,7 @@ def scaling_model(keys: DataFrame, sizes: range, rate: float = 1.6e6, overhead:
     """Nodes, max_share, efficiency, points_per_s, and the scale factor to the smallest size against linear."""
     out = None
     for n in sizes:
-        share = load_share(with_owner(keys, Ring([f"node{i}" for i in range(n)], vnodes))).agg(F.max("share").alias("max_share"))
+        share = load_share(with_owner(keys, Ring([f"n{i}" for i in range(n)], vnodes))).agg(F.max("share").alias("max_share"))
         row = share.select(F.lit(n).cast("long").alias("nodes"), "max_share", ((1 / F.lit(float(n))) / F.col("max_share") * (1 - overhead)).alias("efficiency"))
         out = row if out is None else out.unionByName(row)
     return out.withColumn("points_per_s", F.col("nodes") * rate * F.col("efficiency"))

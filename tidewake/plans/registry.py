@@ -261,7 +261,7 @@ def remap_sql(after: list[str], changed: str) -> str:
 
 
 def scaling_sql() -> str:
-    parts = [f"{ring_sql(f'r{n}', [f'node{i}' for i in range(n)], 64)}, {owner_sql(f'o{n}', f'r{n}')}, s{n} AS (SELECT {n}::BIGINT AS nodes, max(c) / sum(c) AS m FROM (SELECT count(*) AS c FROM o{n} GROUP BY node))" for n in range(3, 9)]
+    parts = [f"{ring_sql(f'r{n}', [f'n{i}' for i in range(n)], 64)}, {owner_sql(f'o{n}', f'r{n}')}, s{n} AS (SELECT {n}::BIGINT AS nodes, max(c) / sum(c) AS m FROM (SELECT count(*) AS c FROM o{n} GROUP BY node))" for n in range(3, 9)]
     union = " UNION ALL ".join(f"SELECT * FROM s{n}" for n in range(3, 9))
     return f"WITH {K}, {', '.join(parts)} SELECT nodes, round(m, 4) AS max_share, round(1.0::DOUBLE / nodes / m * 0.97, 4) AS efficiency, round(nodes * 1600000.0::DOUBLE * (1.0::DOUBLE / nodes / m * 0.97), 0) AS points_per_s FROM ({union})"
 
