@@ -8,7 +8,7 @@ line of canonical JSON (fixed key order, no spaces), so that no conversation is
 Defined results: plain or malformed text is content as it is; null text, role or turn are null in the JSON; an
 identifier that several calls share links to the first (smallest turn, then text); a result without its call is an
 orphan and stays at its own turn; a result before its call is moved behind it; repeated rows are repeated lines; an
-empty table gives an empty result; other input columns are ignored.
+empty table gives an empty result; of arguments of the same name the last counts; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +24,17 @@ def json_line(**parts: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in parts.items()]), {"ignoreNullFields": "false"})
 
 
+def last_of_each(arguments: Column) -> Column:
+    """The entries of a map as JSON gives it, without those that a later entry of the same name replaces."""
+    entries = F.map_entries(arguments)
+    later = lambda i: F.slice(entries, i + F.lit(2), F.greatest(F.size(entries), F.lit(1)))
+    return F.filter(entries, lambda e, i: ~F.exists(later(i), lambda x: x["key"] == e["key"]))
+
+
 def schema_faults(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, call_id, n_faults: arguments that are missing, unknown or of another type than the schema says.
     schemas: name, param, type, required; a tool without a row has no schema, and its calls are one fault each."""
-    given = calls.select("conv_id", "call_id", "name", F.explode_outer("arguments").alias("param", "value"))
+    given = calls.select("conv_id", "call_id", "name", F.explode_outer(last_of_each(F.col("arguments"))).alias("e")).select("conv_id", "call_id", "name", F.col("e.key").alias("param"), F.col("e.value").alias("value"))
     known = schemas.select("name", "param", "type", "required")
     fits = F.lit(False)
     for kind, pattern in TYPES.items():
@@ -60,7 +67,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     n_calls = F.greatest(F.coalesce(F.size("calls"), F.lit(0)), F.lit(0)).cast("long")
     late = F.col("call_turn").isNotNull() & (F.col("call_turn") >= F.col("turn"))
     link = F.when(F.col("call_turn").isNotNull(), "result").when(F.col("call_id").isNotNull(), "orphan").when(n_calls > 0, "call").otherwise("none")
-    sorted_calls = F.transform("calls", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), F.map_from_entries(F.sort_array(F.map_entries(c["arguments"]))).alias("arguments")))
+    sorted_calls = F.transform("calls", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), F.map_from_entries(F.sort_array(last_of_each(c["arguments"]))).alias("arguments")))
     turn, role = F.col("turn"), F.col("role")
     line = (
         F.when(n_calls > 0, json_line(turn=turn, role=role, content=F.col("content"), tool_calls=sorted_calls))
