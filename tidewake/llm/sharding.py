@@ -4,9 +4,9 @@ Pass one scatters the records uniformly into buckets of about ``bucket_bytes`` b
 bucket by Fisher-Yates and writes it. Records are then dealt to the shards in that order, so shard sizes differ by one
 row at most (law ``rows``). Only one bucket is ever held in memory.
 
-Defined results: a null text counts as no bytes; a null id is scattered by the text; repeated rows are dealt as
-separate rows (they are interchangeable, so the result as a set of rows is the same in every run); an empty table gives
-an empty result; input columns named like an output column (shard, slot) are replaced.
+Defined results: a null text counts as no bytes; a null id is scattered by the text, and rows of one id by their texts;
+repeated rows are dealt as separate rows (they are interchangeable, so the result as a set of rows is the same in every
+run); an empty table gives an empty result; input columns named like an output column (shard, slot) are replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def row_size(text: str = "text") -> Column:
 
 
 def scatter_hash(key: str, text: str, seed: int) -> Column:
-    """Uniform whatever the key or the text repeats: the id decides, and the text where there is no id."""
-    return F.when(F.col(key).isNotNull(), F.xxhash64(F.lit(seed), F.col(key))).otherwise(F.xxhash64(F.lit(seed), F.col(text)))
+    """Uniform though one id or one text may be that of many rows: both decide."""
+    return F.xxhash64(F.lit(seed), F.col(key), F.col(text))
 
 
 def shuffle_shards(df: DataFrame, n_shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
