@@ -63,3 +63,18 @@ def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callab
                 yield work(part)
 
     return df.mapInArrow(run, schema)
+
+
+#: look_up() broadcasts the keys that hold more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE, whatever the table.
+HOT_SHARE = 1000
+
+
+def look_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left.join(right, key, "left") where right has one row a key and any key may hold a large part of left's rows.
+
+    Rows of hot keys stay where they are and meet a broadcast; all others are shuffled. Both sides are read more than
+    once: tables or cheap to compute. Hot keys are found by counts that are combined before the shuffle."""
+    limit = left.count() / HOT_SHARE
+    hot = F.broadcast(cut(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(key), "hot-keys"))
+    own = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left")
+    return own.unionByName(left.join(hot, key, "left_anti").join(right, key, "left"))

@@ -3,7 +3,7 @@
 All on DataFrame functions. Document windows are reduced to a 64-bit hash each and looked up in the set; hits are then
 compared word by word. The set is broadcast while it has at most ``BROADCAST_WINDOWS`` windows (about 100 bytes each);
 a larger one is joined by a shuffle on the hash. Hits are gathered by the text's digest, so a text that many rows share
-is counted once, and null or repeated ids do no harm.
+is counted once, and null or repeated ids do no harm; rows meet the hits of their text by a lookup that spreads hot texts.
 
 Defined results: null, empty and wordless texts have no words, no hits and the digest of the empty string; an item of
 fewer than ten words is one window; equal windows of several items count for each; empty tables give empty or clean
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import text_or_empty
+from tidewake.llm.common import cut, look_up, text_or_empty
 
 WINDOW = 10
 BROADCAST_WINDOWS = 1_000_000
@@ -55,13 +55,16 @@ def covered() -> Column:
     return F.aggregate("hits", start, step, lambda s: s["total"]).cast("long")
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_words, n_hit, n_items, items_sha256, contaminated."""
+def text_digest(text: str = "text") -> Column:
+    return F.sha2(text_or_empty(text).cast("binary"), 256)
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """digest, n_hit, n_items, joined (the items) of each distinct text that holds a window of the benchmark."""
     windows = benchmark_windows(benchmark)
     by_length = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most ten rows
     small = sum(by_length.values()) <= BROADCAST_WINDOWS
-    digest = F.sha2(text_or_empty(text).cast("binary"), 256).alias("digest")
-    tokens = documents.select(digest, words(text).alias("w"))
+    tokens = documents.select(text_digest(text).alias("digest"), words(text).alias("w"))
     found = None
     for n in sorted(by_length) or [WINDOW]:
         # One row a window, hashed, looked up and compared in one generated loop; the array of words is only passed along.
@@ -75,15 +78,20 @@ def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         hit = own.join(F.broadcast(wanted) if small else wanted, "h").filter((here <= F.col("gram")) & (here >= F.col("gram"))).select("digest", "at", F.lit(n).alias("n"), "items")
         found = hit if found is None else found.unionByName(hit)
     # A text's hits are no more than its words.
-    by_text = (
+    return (
         found.groupBy("digest")
         .agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("hits"), F.collect_set("items").alias("sets"))
         .select("digest", "hits", F.sort_array(F.array_distinct(F.flatten("sets"))).alias("items"))
         .select("digest", covered().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("joined"))
     )
-    counted = documents.select(F.col(key), digest, n_words(text).alias("n_words"))
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_words, n_hit, n_items, items_sha256, contaminated."""
+    by_text = hits(documents, benchmark, text)
+    counted = cut(documents.select(F.col(key), text_digest(text).alias("digest"), n_words(text).alias("n_words")), "digests")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return counted.join(by_text, "digest", "left").select(
+    return look_up(counted, cut(by_text, "hits"), "digest").select(
         key,
         "n_words",
         hit.alias("n_hit"),
@@ -93,11 +101,12 @@ def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     )
 
 
-def remove_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that hold no window of the benchmark. Rows are matched by the digest of their text."""
-    digest = F.sha2(text_or_empty("text").cast("binary"), 256)
-    keyed = documents.withColumn("__digest", digest)
-    bad = scan(keyed.select(F.col("__digest"), "text"), benchmark, "__digest").filter("contaminated").select("__digest").distinct()
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no window of the benchmark. Rows are matched by the digest of their text; up to
+    BROADCAST_WINDOWS digests of texts with hits are broadcast, so that no document is shuffled, and more are joined."""
+    bad = cut(hits(documents, benchmark).select(F.col("digest").alias("__digest")), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_WINDOWS else bad
+    keyed = documents.withColumn("__digest", text_digest())
     return keyed.join(bad, "__digest", "left_anti").select(*documents.columns)
 
 
