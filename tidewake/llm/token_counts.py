@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm.bpe import CHUNK
-from tidewake.llm.common import map_texts, shared_path, text_or_empty
+from tidewake.llm.common import cut, look_up, map_texts, shared_path, text_or_empty
 
 CACHE = "version string, digest binary, n_tokens long"
 LIMIT = 1024
@@ -105,8 +105,8 @@ def count_tokens(df: DataFrame, cache: str, path: str | None = None, key: str =
     encode_misses(misses, path).select(F.lit(of).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     # Two runs at a time may both append a digest: one row of it is enough.
     counts = read_cache(spark, cache, of).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    sized = with_digest.select(key, "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sized.join(counts, "digest", "left").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    sized = cut(with_digest.select(key, "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    return look_up(sized, counts, "digest").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
