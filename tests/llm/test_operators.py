@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, chat, decontaminate, html_text, neighbours, quality, secrets, sharding, simhash, token_counts
+from tidewake.llm import bpe, chat, common, decontaminate, html_text, neighbours, quality, secrets, sharding, simhash, token_counts
 from tidewake.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,10 +35,22 @@ def empty(df):
     return df.filter("1 = 0")
 
 
+def test_look_up_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    left = spark.createDataFrame([("a", i) for i in range(50)] + [("b", i) for i in range(30)] + [("c", 1), ("d", 2), ("e", 3)], "k string, v long")
+    right = spark.createDataFrame([("a", 1), ("c", 2), ("x", 3)], "k string, w long")
+    got = common.look_up(left, right, "k").collect()
+    assert sorted(map(str, got)) == sorted(map(str, left.join(right, "k", "left").collect()))
+    assert common.look_up(left.filter("1 = 0"), right, "k").count() == 0
+
+
 def test_sharding(spark, edges):
     rows = QUERIES["op1_sharding"](spark, SF).collect()
     by = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(8)}
     assert all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    same_id = spark.createDataFrame([(1, f"text {i}") for i in range(400)], "doc_id long, text string")
+    spread = same_id.select(F.pmod(sharding.scatter_hash("doc_id", "text", 1), F.lit(4)).alias("b")).groupBy("b").count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 200
     small = sharding.shuffle_shards(edges, 3, bucket_bytes=100_000)
     assert sorted(map(str, (r["text"] for r in small.collect()))) == sorted(str(t) for _, t in EDGES)
     again = sharding.shuffle_shards(edges.repartition(5), 3, bucket_bytes=100_000)
@@ -237,6 +249,9 @@ def test_chat(spark):
     assert [r["n_faults"] for r in one] == [0, 2, 0, 0]
     assert one[1]["line"] == '{"turn":2,"role":"assistant","content":null,"tool_calls":[{"id":"c1","name":"add","arguments":{"a":"1","b":"x"}}]}'
     assert len(out) == len(rows) and chat.format_chats(empty(df)).count() == 0
+    twice = '{"tool_calls":[null,{"id":"c","name":"add","arguments":{"b":"1","a":"x","a":"2","c":"z"}},{"id":"c","name":"add","arguments":{}}]}'
+    got = chat.format_chats(spark.createDataFrame([(1, 0, "assistant", twice)], "conv_id long, turn long, role string, text string"), schemas).collect()
+    assert '"arguments":{"a":"2","b":"1","c":"z"}' in got[0]["line"]
     plan = chat.format_chats(df, schemas)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -253,7 +268,7 @@ def test_decontamination(spark, edges):
     assert sorted(str(r["doc_id"]) for r in decontaminate.remove_contaminated(df, bench).collect()) == ["3", "4", "4"]
     assert decontaminate.scan(empty(df), bench).count() == 0
     assert decontaminate.scan(df, empty(bench)).filter("contaminated").count() == 0
-    plan = decontaminate.scan(df, bench)._jdf.queryExecution().executedPlan().toString()
+    plan = decontaminate.hits(df, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
