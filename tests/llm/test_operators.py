@@ -61,6 +61,21 @@ def test_sharding(spark, edges):
     assert order != sorted(order)
 
 
+def test_sharding_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SPAN", 7)
+    rows = [(1, "the same row", "a")] * 100 + [(1, "the same row", "b")] * 3 + [(i, f"another {i}", "c") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = sharding.shuffle_shards(df, 4, bucket_bytes=300).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in out) == sorted(rows)
+    assert sorted((r["shard"], r["slot"]) for r in out) == sorted((i % 4, i // 4) for i in range(len(rows)))
+    again = sharding.shuffle_shards(df.repartition(5), 4, bucket_bytes=300).collect()
+    place = lambda rows: sorted((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in rows)
+    assert place(out) == place(again)
+    hashed = df.withColumn("__hash", sharding.scatter_hash("doc_id", "text", 1))
+    hot = hashed.filter("doc_id = 1 AND text = 'the same row'").select("__hash").distinct()
+    assert sharding.scatter_equals(hashed, hot, 1).select("__hash").distinct().count() >= 300
+
+
 def test_quality(spark, edges):
     rows = QUERIES["op2_quality"](spark, "/root/testdata/sf0.01").collect()
     label = dict(zip(*[pq.read_table("/root/testdata/sf0.01/labels.parquet")[c].to_pylist() for c in ("doc_id", "quality")]))

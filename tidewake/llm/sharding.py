@@ -2,7 +2,8 @@
 
 Pass one scatters the records uniformly into buckets of about ``bucket_bytes`` by a seeded hash; pass two shuffles each
 bucket by Fisher-Yates and writes it. Records are then dealt to the shards in that order, so shard sizes differ by one
-row at most (law ``rows``). Only one bucket is ever held in memory.
+row at most (law ``rows``). Only one bucket is ever held in memory. Rows equal in id and text that together fill a large
+part of a bucket are counted before the shuffle and scattered one by one, by their number among equals.
 
 Defined results: a null text counts as no bytes; a null id is scattered by the text, and rows of one id by their texts;
 repeated rows are dealt as separate rows (they are interchangeable, so the result as a set of rows is the same in every
@@ -20,8 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewake.llm.common import cut
+
 BUCKET_BYTES = 24 << 20
 SEED = 20
+#: Up to so many buckets (24 TB of text at the default size) what is known of each is broadcast; beyond it is joined.
+BROADCAST_BUCKETS = 1_000_000
+#: Equal rows are made again in spans of so many.
+SPAN = 100_000
 
 
 def row_size(text: str = "text") -> Column:
@@ -33,14 +40,31 @@ def scatter_hash(key: str, text: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(key), F.col(text))
 
 
+def scatter_equals(hashed: DataFrame, hot: DataFrame, seed: int) -> DataFrame:
+    """hashed with a hash of its own for each row of a hot hash: equal rows are counted where they are and made again."""
+    names, n, span = hashed.columns, F.col("__n"), F.col("__span")
+    counted = hashed.join(hot, "__hash", "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    spans = counted.withColumn("__span", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / SPAN)))).repartition("__hash", "__span")
+    one = spans.withColumn("__i", F.explode(F.sequence(span * SPAN, F.least((span + 1) * SPAN, n) - 1)))
+    own = one.withColumn("__hash", F.xxhash64(F.lit(seed), "__hash", "__i")).select(*names)
+    return hashed.join(hot, "__hash", "left_anti").unionByName(own)
+
+
 def shuffle_shards(df: DataFrame, n_shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with shard INT (0 to n_shards - 1) and slot LONG (from 0 without gaps in each shard)."""
     if n_shards < 1 or bucket_bytes < 1:
         raise ValueError("n_shards and bucket_bytes must be positive")
-    df = df.drop("shard", "slot", "__bucket", "__hash", "__place")
+    df = df.drop("shard", "slot", "__bucket", "__hash", "__place", "__n", "__i", "__span")
     total = df.agg(F.sum(row_size(text))).first()[0] or 0
     n_buckets = max(1, math.ceil(total / bucket_bytes))
-    hashed = df.withColumn("__hash", scatter_hash(key, text, seed)).withColumn("__bucket", F.pmod("__hash", F.lit(n_buckets)).cast("int"))
+    few = F.broadcast if n_buckets <= BROADCAST_BUCKETS else lambda x: x
+    hashed = df.withColumn("__hash", scatter_hash(key, text, seed))
+    # Rows of such a hash fill a quarter of a bucket at least, so there are fewer than four of them a bucket.
+    hot = hashed.groupBy("__hash").agg(F.sum(row_size(text)).alias("__size"), F.count(F.lit(1)).alias("__n")).filter((F.col("__size") > bucket_bytes / 4) & (F.col("__n") > 1))
+    hot = cut(hot.select("__hash"), "hot-rows")
+    if not hot.isEmpty():
+        hashed = scatter_equals(hashed, few(hot), seed)
+    hashed = hashed.withColumn("__bucket", F.pmod("__hash", F.lit(n_buckets)).cast("int"))
     out = T.StructType([*hashed.schema.fields, T.StructField("__place", T.LongType())])
 
     def fisher_yates(bucket: pa.Table) -> pa.Table:
@@ -51,12 +75,11 @@ def shuffle_shards(df: DataFrame, n_shards: int, seed: int = SEED, bucket_bytes:
         return bucket.take(pa.array(order)).append_column("__place", pa.array(np.arange(len(order), dtype=np.int64)))
 
     shuffled = hashed.groupBy("__bucket").applyInArrow(fisher_yates, out)
-    # One row a bucket: their number is bounded by total / bucket_bytes, so they may be broadcast.
     sizes = hashed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
     at = F.col("__before") + F.col("__place")
     return (
-        shuffled.join(F.broadcast(before), "__bucket")
+        shuffled.join(few(before), "__bucket")
         .withColumns({"shard": (at % n_shards).cast("int"), "slot": F.floor(at / n_shards).cast("long")})
         .select(*df.columns, "shard", "slot")
     )
