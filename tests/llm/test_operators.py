@@ -107,6 +107,9 @@ PAGE = """<html><head><title>t</title><script>x("<p>no</p>")</script></head><bod
 
 def test_html(spark):
     assert html_text.extract(PAGE) == "Head & more\nFirst long paragraph of the article, which goes on for a while.\nSecond one with a link inside <it> é.\none\ntwo"
+    line = "A sentence of the article that is long enough to be dense, one of several alike."
+    beside = f"<body><div><a href=1>Home</a></div><div class=post><div class='post-header x'><h1>Title</h1></div><h2>Part</h2><p>{line}</p><div class=text><p>{line}</p><p>Short.</p><p>{line}</p></div></div><div class='page-header'><h1>Site</h1></div></body>"
+    assert html_text.extract(beside) == f"Title\nPart\n{line}\n{line}\nShort.\n{line}"
     for page in ("", "<", "<p", "<p>x</b></i></p", "plain", "<a href='x>y", "&am", "<!-- never closed", "<div>" * 3000 + "deep"):
         html_text.extract(page)
     assert html_text.extract("plain &lt; text") == "plain < text" and html_text.extract("<div>" * 3000 + "deep") == "deep"

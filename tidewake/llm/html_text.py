@@ -2,7 +2,8 @@
 
 Every DOM node gets its link-adjusted characters per tag (composite text density); the node whose children's densities
 have the largest sum is found, the lowest density on its path to the body is the threshold, and the subtrees with the
-largest sums under nodes of at least that density are the main text. Subtrees that are never article text (menus,
+largest sums under nodes of at least that density are the main text, with the headings and dense single blocks beside
+their path. Subtrees that are never article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) are cut before.
 
 Defined results: null, empty or textless pages give the empty string; unclosed, misnested and truncated markup is read
@@ -38,6 +39,9 @@ CUT_WORD = re.compile(
     r"side|aside|footer|header|masthead|comments?|commentlist|replies|disqus|respond|share|sharing|social|related|recommended|widgets?|toolbar|pagination|pager|skip|login|signup|navigation|complementary|contentinfo|search)(?=$|[\s_-])",
     re.I,
 )
+#: The head of an article holds its title; any other header is cut.
+ARTICLE_HEAD = re.compile(r"\b(?:article|entry|post|story)[-_]header\b", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes, and where the search for it ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SPACE = re.compile(r"\s+")
@@ -60,7 +64,9 @@ def is_cut(name: str, attributes: str, inside_article: bool) -> bool:
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key in ("class", "id", "role") and CUT_WORD.search(value):
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return True
+        if key in ("class", "id", "role") and CUT_WORD.search(ARTICLE_HEAD.sub("", value)):
             return True
     return False
 
@@ -171,6 +177,18 @@ def weigh(nodes: list[Node]) -> None:
             node.total = (density(own, 1, 0, 0) if own else 0.0) + sum(c.density for c in node.children if type(c) is Node and not c.cut)
 
 
+def is_heading(node: Node) -> bool:
+    """All its text is in headings."""
+    todo = [node]
+    for own in todo:
+        if own.name in HEADINGS:
+            continue
+        if any(type(c) is str and c.strip() for c in own.children):
+            return False
+        todo += [c for c in own.children if type(c) is Node and not c.cut]
+    return True
+
+
 def main_nodes(root: Node) -> list[Node]:
     """Roots of the main text in page order."""
     nodes = walk(root)
@@ -205,7 +223,11 @@ def main_nodes(root: Node) -> list[Node]:
             up = up.parent
         at, order = node, []
         while at is not own:
-            order += [c for c in at.children if type(c) is Node and not c.cut and id(c) not in path and c.density >= threshold and c.total > 0]
+            beside = [c for c in at.children if type(c) is Node and not c.cut and c.chars and id(c) not in path]
+            order += [c for c in beside if c.density >= threshold and c.total > 0]
+            # Headings count unless they are links; other single blocks, which have no sum of their own, by their density.
+            own_text = [c for c in beside if 2 * c.link_chars < c.chars and (c.density < threshold or not c.total)]
+            kept += [c for c in own_text if c.name == "header" or is_heading(c) or c.name in SINGLE and c.density >= threshold]
             at = next(c for c in at.children if type(c) is Node and id(c) in path)
         kept.append(own)
         todo += order
