@@ -159,6 +159,36 @@ def stream_chunk_seal(spark, d):
     return streamed(spark, d, stream.seal_chunks, "seal")
 
 
+def stream_health_transitions(spark, d):
+    base = scratch(spark, "probes")
+    probe_log(spark, d).write.parquet(f"{base}/in")
+    log = spark.readStream.schema("node long, seq long, ok boolean").parquet(f"{base}/in")
+    stream.ingest(stream.detect_failures(log), f"{base}/out", f"{base}/state")
+    return spark.read.schema("node long, seq long, event string").parquet(f"{base}/out")
+
+
+def stored_range(spark, d):
+    """Samples written to the stored layout, then one range of one key read from it."""
+    path = scratch(spark, "samples")
+    tables.write_samples(events(spark, d), path)
+    return tables.read_samples(spark, path, "click", START, END).select("seq", "ts_ms", "value")
+
+
+def replicated_write(spark, d):
+    path = scratch(spark, "replicas")
+    tables.write_replicated(events(spark, d), path, NODES3, 2)
+    return spark.read.parquet(path).groupBy(F.col("node").cast("string").alias("node"), "key").agg(F.count(F.lit(1)).alias("samples"))
+
+
+def nested_write(spark, d):
+    """Batches of up to 1,000 events as nested series, flattened again; accepted is the number of samples of each key."""
+    batch = F.floor(F.col("seq") / 1000).alias("batch")
+    lists = events(spark, d).groupBy("key", batch).agg(F.sort_array(F.collect_list(F.struct("seq", "ts_ms", "value"))).alias("s"))
+    nested = lists.select("key", "batch", F.transform("s", lambda x: F.struct(x["ts_ms"].alias("ts_ms"), x["value"].alias("value"))).alias("samples"))
+    flat = tables.explode_series(nested)
+    return flat.groupBy("key").agg(F.count(F.lit(1)).alias("accepted"), F.min_by("ts_ms", "seq").alias("first_ts"), F.max_by("ts_ms", "seq").alias("last_ts"))
+
+
 def stream_ingest(spark, d):
     return streamed(spark, d, lambda s: s, "ingest").groupBy("key").agg(F.count(F.lit(1)).alias("samples"))
 
@@ -209,6 +239,10 @@ QUERIES = {
     "node_spec_parse": lambda s, d: parse_nodes(s.createDataFrame([(SPEC,)], "spec string")),
     "stream_chunk_seal": stream_chunk_seal,
     "stream_ingest": stream_ingest,
+    "stream_health_transitions": stream_health_transitions,
+    "stored_range": stored_range,
+    "replicated_write": replicated_write,
+    "nested_write": nested_write,
 }
 
 EV = "ev AS (SELECT event_type AS key, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, value FROM events)"
@@ -318,4 +352,8 @@ ORACLE_SQL = {
     "node_spec_parse": "SELECT split_part(t, '=', 1) AS node, substr(t, instr(t, '=') + 1) AS addr FROM (SELECT trim(unnest(string_split('node0=node0:50051, node1=node1:50051,' || chr(10) || '  node2=node2:50051,,broken, =x', ',')), ' ' || chr(9) || chr(10)) AS t) WHERE instr(t, '=') > 0",
     "stream_chunk_seal": f"WITH {CH}, {META} SELECT * FROM meta WHERE n = 1024",
     "stream_ingest": f"WITH {EV} SELECT key, count(*) AS samples FROM ev GROUP BY key",
+    "stored_range": f"WITH {EV} SELECT seq, ts_ms, value FROM ev WHERE {CLICK}",
+    "replicated_write": f"WITH {EK} SELECT reps[i + 1] AS node, key, count(*) AS samples FROM ev JOIN rs USING (key), range(2) t(i) GROUP BY ALL",
+    "nested_write": f"WITH {EV} SELECT key, count(*) AS accepted, arg_min(ts_ms, seq) AS first_ts, arg_max(ts_ms, seq) AS last_ts FROM ev GROUP BY key",
 }
+ORACLE_SQL["stream_health_transitions"] = ORACLE_SQL["health_transitions"]
