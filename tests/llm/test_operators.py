@@ -128,6 +128,9 @@ def test_byte_bpe(spark, edges, texts):
     coder = bpe.SegmentTreeBPE(ranks, P.PATTERN)
     rng = random.Random(3)
     odd = ["".join(rng.choices(" \n\t\x1c\x85　'sd.1²éßΣ中\U0001f600a", k=rng.choice([2, 9, 200]))) for _ in range(400)]
+    # Letters and digits that only newer Unicode versions have, alone and after older ones.
+    odd += ["a\u1c89 b\u088f\u0897 1\U0001ccf0 2\U00011de3 \U00033000x a\ua7cbz \u0558", "".join(chr(c) for c in rng.choices(range(0x250, 0xD800), k=300))]
+    odd += ["".join(rng.choice(["a", "1", chr(rng.randrange(0xE000, 0x110000))]) for _ in range(300)) for _ in range(20)]
     for t in [*list(texts.values())[:60], *odd, "a" * 3000, "ab " * 500, "<|endoftext|>", *(x or "" for _, x in EDGES)]:
         packed = coder.encode_texts([t])[0]
         assert np.frombuffer(packed, "<u4").tolist() == library.encode_ordinary(t) and coder.decode(packed) == t.encode()
@@ -147,6 +150,7 @@ def test_token_counts(spark, edges, texts, tmp_path, monkeypatch):
     for r in rows[:80]:
         assert r["n_tokens"] == len(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
     odd = ["a <|endoftext|>  b", "x\x1cy  z　 ", "   ", "don't\n\n\nstop"] + [t or "" for _, t in EDGES]
+    odd += ["a\u1c89 b\u088f\u0897 1\U0001ccf0 2\U00011de3 \U00033000x a\ua7cbz \u0558", *("".join(random.Random(i).choices([*"a1 ", *map(chr, range(0x2B0, 0xD800))], k=300)) for i in range(20))]
     assert token_counts.Counter(None).count(odd) == [len(library.encode(t, add_special_tokens=False).ids) for t in odd]
     got = token_counts.count_tokens(edges, cache).collect()
     stored = spark.read.parquet(cache).count()

@@ -12,8 +12,10 @@ equal ids; long texts are encoded whole (memory grows with one text, not with th
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 #: other characters into white space or from a letter to what is not one, and none looks further than one character,
 #: so chunks can be encoded apart.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
-CHUNK = re.compile(f"{SPACE}*[{LETTERS}]+(?!\\w)|{SPACE}*{OTHER}+|{SPACE}+")
+#: What may be a letter or digit in some Unicode version, so that no chunk ends before it: all but older punctuation.
+MAYBE_WORD = r"[\w\u02b0-\u1fff\u2070-\U0010ffff]"
+CHUNK = re.compile(f"{SPACE}*[{LETTERS}]+(?!{MAYBE_WORD})|{SPACE}*{OTHER}+|{SPACE}+")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,9 +43,40 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@functools.cache
+def newer_than_library() -> str:
+    """Ranges of what the regex module takes for a letter or digit and the tiktoken library, whose Unicode is older, does not.
+
+    Asked of the library: with tokens of a letter or digit and a first byte, it joins the two if one match holds both.
+    Only characters that Python's own, older Unicode does not know are in doubt."""
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)}
+    ranks |= {bytes([a, b]): 256 + 64 * k + b - 0xC0 for k, a in enumerate(b"a1") for b in range(0xC0, 0x100)}
+    library = tiktoken.Encoding("probe", pat_str=r"\p{L}+|\p{N}+|[^\p{L}\p{N}]+", mergeable_ranks=ranks, special_tokens={})
+    everything = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    ranges: list[list[int]] = []
+    for lead, kind in (("a", r"\p{L}"), ("1", r"\p{N}")):
+        for c in regex.findall(kind, everything):
+            if unicodedata.category(c) == "Cn" and library.encode_ordinary(lead + c)[0] < 256:
+                if ranges and ranges[-1][1] == ord(c) - 1:
+                    ranges[-1][1] += 1
+                else:
+                    ranges.append([ord(c), ord(c)])
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges)
+
+
+def as_library(pattern: str) -> regex.Pattern:
+    """The pattern with letters and digits as the library has them."""
+    if newer := newer_than_library():
+        for kind in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(kind, f"[{kind}--[{newer}]]")
+    return regex.compile(pattern, regex.V1)
+
+
 class SegmentTreeBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern = ranks, as_library(pattern)
         token = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             token[i] = t
