@@ -140,6 +140,19 @@ def test_byte_bpe(spark, edges, texts):
     assert bpe.encode(empty(edges)).count() == 0
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_byte_bpe_of_long_pieces(n):
+    import public_tokenizers as P
+    import tiktoken
+
+    coder = bpe.load(None)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    rng = random.Random(n)
+    for piece in ("-" * n, "a" * n, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n)), "".join(rng.choices("中文的一是不了人我在", k=n // 3))):
+        packed = coder.encode_texts([piece])[0]
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode_ordinary(piece) and coder.decode(packed) == piece.encode()
+
+
 def test_token_counts(spark, edges, texts, tmp_path, monkeypatch):
     import public_tokenizers as P
     from tokenizers import Tokenizer

@@ -157,7 +157,7 @@ class SegmentTreeBPE:
         width = 1 << max(1, (n - 1).bit_length())
         parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        big = int(BIG)
+        big = len(self.size) * width  # above every rank * width + position
         tree = [big] * (2 * width)
         for i in range(n - 1):
             if (r := ranks.get(piece[i : i + 2])) is not None:
