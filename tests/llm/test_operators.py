@@ -119,6 +119,13 @@ def test_html(spark):
     assert QUERIES["op3_html"](spark, SF).filter("n_chars > 0").count() == 50
 
 
+@pytest.mark.parametrize("name", ["script", "STYLE", "Select", "svg"])
+def test_html_after_characters_that_lower_lengthens(name):
+    capital = "\u0130" * 40
+    page = f"<p>{capital}</p><{name}>x=1</{name.swapcase()}><p>An article paragraph that matters.</p><p>Next.</p>"
+    assert html_text.extract(page) == f"{capital}\nAn article paragraph that matters.\nNext."
+
+
 def test_byte_bpe(spark, edges, texts):
     import public_tokenizers as P
     import tiktoken

@@ -26,6 +26,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/]|$)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select".split())
+#: Searched in the page itself, as lower() changes the length of some characters (U+0130).
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -74,7 +76,7 @@ def is_cut(name: str, attributes: str, inside_article: bool) -> bool:
 def parse(page: str) -> Node:
     """The tree of a page; texts are children that are strings."""
     root = Node("html", None)
-    node, at, lower = root, 0, None
+    node, at = root, 0
     articles = 0  # open article or main elements
 
     def up(to: Node) -> Node:
@@ -129,9 +131,8 @@ def parse(page: str) -> Node:
         if name in VOID:
             continue
         if name in RAW:
-            lower = lower or page.lower()
-            end = lower.find(f"</{name}", at)
-            at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
+            end = RAW_END[name].search(page, at)
+            at = len(page) if not end else (page.find(">", end.start()) + 1 or len(page))
             continue
         if found[3].endswith("/") and name not in BLOCK and name != "a":
             continue
