@@ -298,6 +298,21 @@ def test_chat(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_chat_validates_by_the_tools_of_the_conversation(spark, tmp_path):
+    kinds = {"i": "integer", "s": "string", "n": "number", "b": "boolean", "o": "object", "l": "array", "z": "null", "m": ["string", "null"]}
+    tools = [{"name": "f", "parameters": {"properties": {**{k: {"type": v} for k, v in kinds.items()}, "any": {}}, "required": ["i", "q"]}}, {"type": "function", "function": {"name": "g"}}]
+    good = {"i": 5, "s": "5", "n": 1.5, "b": True, "o": {"x": 1}, "l": [1], "z": None, "m": None, "any": [], "q": 0}
+    bad = {"i": "5", "s": 5, "n": "1.5", "b": "true", "o": "{}", "l": {}, "z": "null", "m": 1, "other": 1}
+    cases = [("f", good, 0), ("f", bad, 10), ("f", {"i": 1.5, "q": 1}, 1), ("f", {"i": 5.0, "q": 1}, 0), ("f", {}, 2), ("g", {}, 0), ("g", {"x": 1}, 1), ("h", {"x": 1, "y": 2}, 1)]
+    text = lambda *calls: json.dumps({"tool_calls": [{"id": c, "name": n, "arguments": a} for c, n, a in calls]})
+    rows = [(1, 0, "system", json.dumps({"tools": tools}))] + [(1, i + 1, "assistant", text(("c", n, a))) for i, (n, a, _) in enumerate(cases)]
+    rows += [(1, 20, "assistant", text((None, "f", bad), (None, "h", {})))] * 2 + [(1, None, "assistant", text(("c", "h", {}))), (2, 0, "assistant", text(("c", "f", good))), (2, 1, "tool", json.dumps({"tool_call_id": "c", "content": "3"}))]
+    want = [(1, 0, 0), *((1, i + 1, c[2]) for i, c in enumerate(cases)), (1, 20, 11), (1, 20, 11), (1, None, 1), (2, 0, 1), (2, 1, 0)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["op9_chat"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, ((r["conv_id"], r["turn"], r["n_faults"]) for r in got))) == sorted(map(str, want))
+
+
 def test_decontamination(spark, edges):
     item = "one two three four five six seven eight nine ten eleven"
     bench = spark.createDataFrame([(1, item), (2, "short Éa item"), (3, None), (4, "--"), (5, item)], "item_id long, text string")

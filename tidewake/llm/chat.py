@@ -2,13 +2,15 @@
 
 A message's text may be a JSON object: an assistant's with "tool_calls" (a list of {"id", "name", "arguments"}), a
 tool's with "tool_call_id" and "content". Calls and results are hash-joined by conversation and identifier; messages are
-ordered so that a result follows its call; arguments are checked against the tools' schemas; each message becomes one
+ordered so that a result follows its call; arguments are checked against the tools' schemas, which the caller or the
+system messages of the conversation give (names, presence and JSON types, one level deep); each message becomes one
 line of canonical JSON (fixed key order, no spaces), so that no conversation is ever gathered whole.
 
 Defined results: plain or malformed text is content as it is; null text, role or turn are null in the JSON; an
 identifier that several calls share links to the first (smallest turn, then text); a result without its call is an
 orphan and stays at its own turn; a result before its call is moved behind it; repeated rows are repeated lines; an
-empty table gives an empty result; of arguments of the same name the last counts; other input columns are ignored.
+empty table gives an empty result; of arguments of the same name the last counts; a call of a tool that nothing defines
+is one fault; if an object inside the arguments repeats a name, their texts decide; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:map<string,string>>>,tool_call_id:string,content:string>"
+TYPED = "struct<tool_calls:array<struct<arguments:map<string,variant>>>>"
+ARGUMENTS = "array<struct<key:string,value:string,json:string>>"
 TYPES = {"string": "^(?s).*$", "integer": r"^-?[0-9]+$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$"}
 
 
@@ -31,39 +35,90 @@ def last_of_each(arguments: Column) -> Column:
     return F.filter(entries, lambda e, i: ~F.exists(later(i), lambda x: x["key"] == e["key"]))
 
 
-def schema_faults(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """conv_id, call_id, n_faults: arguments that are missing, unknown or of another type than the schema says.
-    schemas: name, param, type, required; a tool without a row has no schema, and its calls are one fault each."""
-    given = calls.select("conv_id", "call_id", "name", F.explode_outer(last_of_each(F.col("arguments"))).alias("e")).select("conv_id", "call_id", "name", F.col("e.key").alias("param"), F.col("e.value").alias("value"))
-    known = schemas.select("name", "param", "type", "required")
-    fits = F.lit(False)
-    for kind, pattern in TYPES.items():
-        fits = fits | ((F.col("type") == kind) & F.col("value").rlike(pattern))
-    extra = given.filter(F.col("param").isNotNull()).join(known, ["name", "param"], "left")
-    wrong = extra.filter(F.col("type").isNull() | (F.col("type").isin(*TYPES) & ~F.coalesce(fits, F.lit(False)))).select("conv_id", "call_id")
-    needed = calls.join(known.filter("required"), "name").filter(~F.coalesce(F.array_contains(F.map_keys("arguments"), F.col("param")), F.lit(False))).select("conv_id", "call_id")
-    unknown = calls.join(known.select("name").distinct(), "name", "left_anti").select("conv_id", "call_id")
-    return wrong.unionByName(needed).unionByName(unknown).groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n_faults"))
+def tool_definitions(messages: DataFrame) -> DataFrame:
+    """conv_id, name, param, type, required: the tools that the system messages of a conversation define.
+
+    Such a text is a JSON object with "tools", a list of {"name", "parameters"}, alone or under "function"; parameters is
+    a JSON schema with "properties" and "required". Of definitions of the same name the first counts (smallest turn, then
+    text); a tool without parameters is one row whose param is null; type is null where the schema names none."""
+    parsed = messages.filter((F.col("role") == "system") & F.ltrim("text").startswith("{"))
+    tool = parsed.select("conv_id", "turn", F.explode(F.from_json("text", "struct<tools:array<string>>")["tools"]).alias("tool"))
+    tool = tool.select("conv_id", "turn", F.coalesce(F.get_json_object("tool", "$.function"), F.col("tool")).alias("tool"))
+    named = tool.withColumn("name", F.get_json_object("tool", "$.name")).filter("name IS NOT NULL")
+    first = named.groupBy("conv_id", "name").agg(F.min(F.struct("turn", "tool"))["tool"].alias("tool"))
+    own = first.select("conv_id", "name", F.from_json("tool", "struct<parameters:struct<properties:map<string,string>,required:array<string>>>")["parameters"].alias("p"))
+    given = own.select("conv_id", "name", "p.required", F.explode_outer(last_of_each(F.col("p.properties"))).alias("e"))
+    listed = given.select("conv_id", "name", F.col("e.key").alias("param"), F.get_json_object("e.value", "$.type").alias("type"), F.coalesce(F.array_contains("required", F.col("e.key")), F.lit(False)).alias("required"))
+    # A name that is required but has no property is needed too, of any type.
+    bare = own.select("conv_id", "name", "p.properties", F.explode(F.array_distinct("p.required")).alias("param")).filter(~F.coalesce(F.array_contains(F.map_keys("properties"), F.col("param")), F.lit(False)))
+    return listed.unionByName(bare.select("conv_id", "name", "param", F.lit(None).cast("string").alias("type"), F.lit(True).alias("required")))
+
+
+def typed_calls(calls: Column, text: Column) -> Column:
+    """Of each call the name and the arguments: key, value (as text) and json, null where the types cannot be read."""
+    typed = F.from_json(text, TYPED)["tool_calls"]
+
+    def one(c: Column, i: Column) -> Column:
+        same = lambda e: F.filter(F.map_entries(F.get(typed, i)["arguments"]), lambda x: x["key"] == e["key"])
+        arguments = F.transform(last_of_each(c["arguments"]), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.to_json(F.try_element_at(same(e), F.lit(-1))["value"]).alias("json")))
+        return F.struct(c["name"].alias("name"), F.coalesce(arguments, F.array().cast(ARGUMENTS)).alias("arguments"))
+
+    return F.transform(calls, one)
+
+
+def fits(kind: Column, value: Column, as_json: Column, spelled: bool) -> Column:
+    """Whether a value is of a JSON type (several in a JSON list; any, if null or none of JSON's). spelled: a string that
+    spells a number or boolean is one too; without as_json the text alone decides."""
+    start = F.coalesce(as_json, F.when(value.startswith("{") | value.startswith("["), value), F.when(value.isNull(), "null").otherwise('"'))
+    own = (
+        F.when(start.startswith('"'), "string").when(start.startswith("{"), "object").when(start.startswith("["), "array")
+        .when(start.isin("true", "false"), "boolean").when(start == "null", "null").otherwise("number")
+    )
+    whole = (own == "number") & value.rlike(r"^-?[0-9]+(\.0+)?([eE]\+?[0-9]+)?$")
+    by_text = F.lit(False)
+    for name, pattern in TYPES.items():
+        by_text = by_text | ((own == "string") & (F.lit(True) if spelled else as_json.isNull()) & F.coalesce(value.rlike(pattern), F.lit(False)) & (kind == name))
+    one = lambda t: ~t.isin(*TYPES, "object", "array", "null") | (t == own) | ((t == "integer") & whole)
+    listed = F.from_json(F.when(kind.startswith("["), kind), "array<string>")
+    return F.coalesce(F.when(listed.isNotNull(), F.exists(listed, one)).otherwise(one(kind) | by_text), F.lit(True))
+
+
+def schema_faults(callers: DataFrame, schemas: DataFrame, keys: list[str], spelled: bool) -> DataFrame:
+    """message, n_faults: arguments that are missing, unknown or of another type than the schema says.
+    callers: message, conv_id, calls; schemas: the keys (name, or conv_id and name), param, type, required. A tool without
+    a row has no schema, and its calls are one fault each. spelled: as of fits()."""
+    calls = callers.select("message", "conv_id", F.explode("calls").alias("c")).select("message", "conv_id", F.col("c.name").alias("name"), F.coalesce("c.arguments", F.array().cast(ARGUMENTS)).alias("arguments"))
+    known = schemas.select(*keys, "param", "type", "required", F.lit(True).alias("known"))
+    names = known.select(*keys).distinct()
+    given = calls.join(names, keys, "left_semi").select("message", *keys, F.explode("arguments").alias("e")).select("message", *keys, F.col("e.key").alias("param"), F.col("e.value").alias("value"), F.col("e.json").alias("json"))
+    wrong = given.join(known, [*keys, "param"], "left").filter(F.col("known").isNull() | ~fits(F.col("type"), F.col("value"), F.col("json"), spelled)).select("message")
+    needed = calls.join(known.filter("required AND param IS NOT NULL"), keys).filter(~F.exists("arguments", lambda e: e["key"] == F.col("param"))).select("message")
+    unknown = calls.join(names, keys, "left_anti").select("message")
+    return wrong.unionByName(needed).unionByName(unknown).groupBy("message").agg(F.count(F.lit(1)).alias("n_faults"))
 
 
 def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """Per message: conv_id, turn, order_turn, order_step, n_calls, n_faults, link, line.
 
     order_turn and order_step order a conversation topologically (then turn): a linked result takes the turn of its
-    call if that is not earlier than its own. link: call, result, orphan or none."""
+    call if that is not earlier than its own. link: call, result, orphan or none. schemas: name, param, type, required
+    of all conversations, by which a string that spells a number or boolean is one; without them, the tools that the
+    system messages of the conversation define hold, and JSON types count."""
     parsed = messages.select("conv_id", "turn", "role", "text", F.from_json(F.when(F.ltrim("text").startswith("{"), F.col("text")), CALLS).alias("j"))
     calls_of = F.when(F.col("role") == "assistant", F.col("j.tool_calls"))
     result_of = F.when(F.col("role") == "tool", F.col("j.tool_call_id"))
     own = parsed.select("conv_id", "turn", "role", "text", calls_of.alias("calls"), result_of.alias("call_id"), F.col("j.content").alias("content"))
     calls = own.filter(F.size("calls") > 0).select("conv_id", "turn", F.explode("calls").alias("c")).select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
     first = calls.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
-    linked = own.join(first, ["conv_id", "call_id"], "left")
-    if schemas is None:
-        faults = F.lit(0).cast("long")
-    else:
-        bad = schema_faults(calls, schemas).join(calls.select("conv_id", "call_id", "turn").distinct(), ["conv_id", "call_id"]).groupBy("conv_id", "turn").agg(F.sum("n_faults").alias("n_faults"))
-        linked = linked.join(bad, ["conv_id", "turn"], "left")
-        faults = F.coalesce("n_faults", F.lit(0).cast("long"))
+    # Messages with calls meet their faults, all others the calls they answer, so that each is shuffled once.
+    has_calls = F.coalesce(F.size("calls") > 0, F.lit(False))
+    key = F.sha2(F.to_json(F.struct("conv_id", "turn", "text")), 256)  # equal messages have equal faults
+    callers = own.filter(has_calls).withColumn("message", key)
+    keys, known = (["conv_id", "name"], tool_definitions(messages)) if schemas is None else (["name"], schemas)
+    once = callers.dropDuplicates(["message"]).select("message", "conv_id", typed_calls(F.col("calls"), F.col("text")).alias("calls"))
+    called = callers.join(schema_faults(once, known, keys, schemas is not None), "message", "left").drop("message").withColumn("call_turn", F.lit(None).cast(first.schema["call_turn"].dataType))
+    linked = own.filter(~has_calls).join(first, ["conv_id", "call_id"], "left").withColumn("n_faults", F.lit(0).cast("long")).unionByName(called)
+    faults = F.coalesce("n_faults", F.lit(0).cast("long"))
     n_calls = F.greatest(F.coalesce(F.size("calls"), F.lit(0)), F.lit(0)).cast("long")
     late = F.col("call_turn").isNotNull() & (F.col("call_turn") >= F.col("turn"))
     link = F.when(F.col("call_turn").isNotNull(), "result").when(F.col("call_id").isNotNull(), "orphan").when(n_calls > 0, "call").otherwise("none")
