@@ -1,12 +1,13 @@
 """Operator 5, secret scans: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of at least 12 token characters that holds a digit, or of at least 16 that holds upper case inside,
-or what is assigned to a name such as password. The forest (numpy, decision trees on bootstrap samples with random
+or the whole value, of any length and characters, that is assigned to a name such as password (up to its closing quote,
+or unquoted to the next blank without a final full stop, comma or semicolon), or the password in a URL. The forest (numpy, decision trees on bootstrap samples with random
 feature subsets) sees its length, character transitions, dictionary coverage, the words and the path around it. It is
 trained from labelled findings: the caller's, or the seeded set that labelled_findings() makes by rule.
 
 Defined results: null and empty texts have no findings; equal texts have equal findings; long texts are scanned whole;
-an empty table gives an empty result; of overlapping candidates the leftmost longest counts.
+an empty table gives an empty result; candidates may lie in each other, and secrets that overlap are one.
 """
 
 from __future__ import annotations
@@ -26,27 +27,58 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewake.llm.common import map_texts, text_or_empty
 
 RUN = re.compile(r"[A-Za-z0-9_\-+/]{8,}")
-ASSIGNED = re.compile(r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api_?key|auth|credential|private_?key|access_?key)[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}[\"']?\Z")
+SECRET_NAME = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api_?key|auth|credential|private_?key|access_?key)[\"']?\s{0,3}"
+ASSIGNED = re.compile(SECRET_NAME + r"[:=]{1,2}>?\s{0,3}[\"']?\Z")
+NAME_BEFORE = re.compile(SECRET_NAME + r"\Z")
+#: An assignment and its value, quoted or up to a blank; the password of a URL.
+QUOTED = re.compile(r"""[:=]{1,2}>?\s{0,3}(?:"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)')""")
+UNQUOTED = re.compile(r"""[:=]{1,2}>?\s{0,3}["']?([^\s"'=:]\S*)""")
+SEPARATOR = re.compile(r"[:=]{1,2}")
+URL_PASSWORD = re.compile(r"://[^\s/?#:@]*:([^\s/?#]+)@")
+URL_USER = re.compile(r"://[^\s/?#:@]*:\Z")
 NAME = re.compile(r"(?i)(pass|pwd|secret|token|key|auth|cred|bearer|akia|login)")
 HARMLESS = re.compile(r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|test|commit|sha|md5|checksum|digest|uuid|build|version|hash|etag|revision|isbn|order|invoice)")
 PLACE = re.compile(r"https?:|www\.|[/\\@]\Z|\.\w{2,4}/")
+#: Variables, calls and placeholders instead of a value.
+CODE = re.compile(r"^[$<{%]|[\w.]\(|^(?:\w+\.)+\w+$|^[*x.]+$|^(?i:none|null|nil|true|false|undefined|password|secret|token)$")
 PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk_|pk_|xox[abp]-|AIza|eyJ|glpat-|npm_|SG\.")
 #: Syllables common in prose; how much of a run they cover tells words from random characters.
 SYLLABLES = re.compile("tion|ment|heit|keit|sch|eau|que|ing|the|and|ver|ung|ein|lich|ando|cion|able|ence|ist|est|ent|ant|con|pro|per|ter|ion|ere|ate|ous|der|die|und|les|des|del|los|las|por|para|er|en|on|an|in|re|es|or|ed|te|ti|st|ar|nd|at|is|it|ha|al|ou|le|ai|ie|de|la|el|ra|co|do|ta|ja|se|as|os|un|ch|be|ge|zu|he|sh|th|ly|no|me|ne|si|so|to|na|ma|li|lo|ro|ri|mi|di|pa|po|vi|vo|us|ul|ur|um|ut|ir|il|ic|id|ig|im", re.I)
-FEATURES = 16
+FEATURES = 18
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidates of a whole text, in order, without overlap."""
-    out = []
+    """(start, end) of the candidates of a whole text, in order; of two that start together the longer first."""
+    out = set()
     for m in RUN.finditer(text):
         a, b = m.span()
         run = m.group()
         n = b - a
         digit = not run.isalpha() and any(c.isdigit() for c in run)
         if digit and n >= 12 or n >= 16 and not run.islower() and not run[1:].islower() or ASSIGNED.search(text, max(0, a - 40), a):
-            out.append((a, b))
-    return out
+            out.add((a, b))
+    # Assignments inside an unquoted value are candidates up to the next of them, so that their lengths add up to its own.
+    end, inner = 0, -1
+    for m in SEPARATOR.finditer(text):
+        if not (name := NAME_BEFORE.search(text, max(0, m.start() - 20), m.start())):
+            continue
+        if inner >= 0:
+            out.add((inner, min(end, max(inner, name.start()))))
+            inner = -1
+        if m.end() < end:
+            if value := QUOTED.match(text, m.start()):
+                out.add(value.span(value.lastindex))
+            else:
+                inner = m.end() + (text[m.end()] in "\"'>")
+        elif value := QUOTED.match(text, m.start()):
+            out.add(value.span(value.lastindex))
+        elif value := UNQUOTED.match(text, m.start()):
+            end = value.start(1) + len(value[1].rstrip(".,;"))
+            out.add((value.start(1), end))
+    if inner >= 0:
+        out.add((inner, end))
+    out.update(m.span(1) for m in URL_PASSWORD.finditer(text))
+    return sorted((s for s in out if s[0] < s[1]), key=lambda s: (s[0], -s[1]))
 
 
 def vector(text: str, a: int, b: int) -> list[float]:
@@ -69,6 +101,7 @@ def vector(text: str, a: int, b: int) -> list[float]:
         float(bool(NAME.search(near))), float(bool(HARMLESS.search(near) or HARMLESS.search(run))),
         float(bool(ASSIGNED.search(before))), float(bool(PLACE.search(before) or after[:1] in ("@", "."))),
         float(bool(PREFIX.match(run))), float(run.count("-") + run.count("/") + run.count("_")) / n,
+        float(bool(URL_USER.search(before)) and after[:1] == "@"), float(bool(CODE.search(run))),
     ]
 
 
@@ -175,6 +208,40 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int,
             if len(run) < 12:
                 run += pick(low, 12 - len(run))
         out.append((before + lead + run + after, len(before + lead), len(before + lead + run), good))
+    # Short and odd passwords that are assigned or stand in a URL, and what is no value or a plain word there.
+    symbols = "!@#$%^&*?+-_.~"
+    leet = str.maketrans("aeiost", "4310$7")
+    for i in range(n // 2):
+        good = i % 2
+        before = " ".join(word() for _ in range(4)) + " "
+        name, sign = rng.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "auth", "DB_PASSWORD"]), rng.choice(["=", ": ", " = ", ":"])
+        quote = rng.choice(["", "", '"', "'"])
+        if good:
+            kind = rng.randrange(5)
+            if kind == 0:
+                run = word(3) + pick(string.digits, rng.randint(1, 4)) + pick(symbols, rng.randint(0, 2))
+            elif kind == 1:
+                run = word(3).capitalize().translate(leet) + pick(string.digits, rng.randint(1, 3)) + pick(symbols, rng.randint(0, 2))
+            elif kind == 2:
+                run = word(2).translate(leet) + pick(string.digits, rng.randint(0, 2)) + pick(symbols, 1) + pick(b64 + symbols, rng.randint(3, 8))
+            elif kind == 3:
+                run = pick(b64, 1) + pick(b64 + symbols, rng.randint(5, 24)) + pick(string.digits, 1)
+            else:
+                run, quote = " ".join(word(2) for _ in range(3)) + pick(string.digits + symbols, 2), rng.choice(['"', "'"])
+        else:
+            kind = rng.randrange(4)
+            if kind < 2:
+                run = rng.choice([str, str.capitalize])(word(3))
+            elif kind == 2:
+                run = rng.choice(["None", "null", "true", "false", "password", "secret", "****", "xxxxxxxx", "<password>", "changeme", "your-password", "example"])
+            else:
+                v = word(2)
+                run = rng.choice([f"${{{v.upper()}}}", f"${v}", f"{{{{{v}}}}}", f"get_{v}()", f"os.environ({v})", f"process.env.{v.upper()}", f"self.{v}", f"<{v}>", f"{rng.randint(0, 99)}"])
+        if rng.random() < 0.3 and " " not in run and not set("/?#@") & set(run):
+            lead, after = f"{rng.choice(['postgres', 'mysql', 'https', 'redis', 'amqp', 'ftp'])}://{word(2)}:", f"@{word(2)}/{word()}"
+        else:
+            lead, after = name + sign + quote, quote + rng.choice([" ", ". ", "\n", ", "]) + word()
+        out.append((before + lead + run + after, len(before + lead), len(before + lead + run), good))
     return out
 
 
@@ -190,7 +257,18 @@ def findings(texts: list[str], forest: Forest, threshold: float = 0.5) -> list[t
     x = [vector(t, a, b) for t, own in zip(texts, spans) for a, b in own]
     scores = iter(forest.predict(np.array(x)).tolist() if x else [])
     scored = [[(a, b, next(scores)) for a, b in own] for own in spans]
-    return [(len(own), [s for s in own if s[2] >= threshold]) for own in scored]
+    return [(len(own), joined([s for s in own if s[2] >= threshold])) for own in scored]
+
+
+def joined(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Overlapping spans as one, with the highest score."""
+    out: list[tuple[int, int, float]] = []
+    for a, b, score in spans:
+        if out and a < out[-1][1]:
+            a, b, score = out[-1][0], max(b, out[-1][1]), max(score, out[-1][2])
+            out.pop()
+        out.append((a, b, score))
+    return out
 
 
 def redact(text: str, spans: list[tuple[int, int, float]], mark: str = "<SECRET>") -> str:
