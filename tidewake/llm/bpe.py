@@ -6,7 +6,8 @@ merged pair, of its dead right half and of its live left neighbour, with the nod
 are merged many at a time in numpy (one tree a row); longer ones one by one with the same tree.
 
 Defined results: null and empty texts give no ids; any text decodes to its own UTF-8 bytes; repeated rows and ties give
-equal ids; long texts are encoded whole (memory grows with one text, not with the table).
+equal ids; long texts and single pieces of any length are encoded whole (memory grows with one text, not with the
+table); an empty table gives an empty result; other input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewake.llm.common import map_texts, text_or_empty
 
 BIG = np.int32(1 << 30)
-#: Chunks remembered by a worker; beyond it only those of the current slice stay.
-MEMO_CHUNKS = 300_000
+#: Chunks remembered by a worker; beyond it only those of the current slice stay. Longer ones are forgotten after their slice.
+MEMO_CHUNKS, MEMO_LENGTH = 300_000, 200
 #: White space as the tokenizers have it: Python's, without the four separators U+001C to U+001F.
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 #: White space with the letters after it, or with all other characters after it. No match of the pattern crosses from
@@ -230,8 +231,12 @@ class SegmentTreeBPE:
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         chunks = [CHUNK.findall(t) for t in texts]
-        self.learn(set().union(*chunks))
-        return [b"".join(map(self.memo.__getitem__, own)) for own in chunks]
+        every = set().union(*chunks)
+        self.learn(every)
+        out = [b"".join(map(self.memo.__getitem__, own)) for own in chunks]
+        for c in [c for c in every if len(c) > MEMO_LENGTH]:
+            del self.memo[c]
+        return out
 
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, dtype="<u4")
