@@ -81,6 +81,9 @@ def test_quality(spark, edges):
     label = dict(zip(*[pq.read_table("/root/testdata/sf0.01/labels.parquet")[c].to_pylist() for c in ("doc_id", "quality")]))
     held = [(r["predicted"], label[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in label]
     assert np.mean([a == b for a, b in held]) > 0.97 and len(held) > 50
+    score = {r["doc_id"]: r["score"] for r in rows if r["held_out"] and r["doc_id"] in label}
+    pairs = [(score[a] > score[b]) + 0.5 * (score[a] == score[b]) for a in score for b in score if label[a] == 1 and label[b] == 0]
+    assert np.mean(pairs) > 0.98  # the area under the curve
     model = quality.train(["good words here and there"] * 8 + ["BAD!! BAD!!"] * 8, [1] * 8 + [0] * 8)
     scores = {str(r["doc_id"]): r["score"] for r in quality.score(edges, model).collect()}
     assert scores["3"] == scores["4"] and scores["1"] == scores["2"] and all(0 <= s <= 1 for s in scores.values())
@@ -91,12 +94,24 @@ def test_quality(spark, edges):
     quality.fit(edges, labels, F.lit(False))
 
 
-def test_quality_features_do_not_depend_on_parts(monkeypatch):
-    text = " ".join(random.Random(1).choices(["ab", "cd\nef", "ghi", "Straße"], k=3000))
+@pytest.mark.parametrize("text", ["", " ", "a", "ab", "x" * 3500, "x" * 1000 + " " + "y" * 2999, " ".join(random.Random(1).choices(["ab", "cd\nef", "ghi", "Straße", "\U0001d11e"], k=3000)), " " * 2500 + "end", "a " * 1500])
+def test_quality_features_do_not_depend_on_parts(monkeypatch, text):
     whole = np.sort(quality.features(text))
-    monkeypatch.setattr(quality, "PIECE", 1000)
-    parts = np.sort(quality.features(text))
-    assert abs(len(whole) - len(parts)) < 0.02 * len(whole)
+    for piece in (1000, 7, 1):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert np.array_equal(np.sort(quality.features(text)), whole)
+
+
+def test_quality_learns_from_long_texts_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "BAD!! x9 ") * 400, 0) for i in range(60)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-500, 60)], "doc_id long, quality int")
+    models = []
+    for long in (1 << 20, 100):
+        monkeypatch.setattr(quality, "LONG_TEXT", long)
+        models.append(quality.fit(docs, labels, F.lit(False), rows=40))
+    assert np.array_equal(models[0].bucket, models[1].bucket) and models[0].score("good words here") > 0.5 > models[0].score("BAD!!")
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 0)
+    assert quality.fit(docs, labels, F.lit(False)).score("good") == 0.5
 
 
 PAGE = """<html><head><title>t</title><script>x("<p>no</p>")</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav>
@@ -147,7 +162,7 @@ def test_byte_bpe(spark, edges, texts):
     assert bpe.encode(empty(edges)).count() == 0
 
 
-@pytest.mark.parametrize("n", [20_000, 200_000])
+@pytest.mark.parametrize("n", [16_385, 20_000, 40_000, 200_000])
 def test_byte_bpe_of_long_pieces(n):
     import public_tokenizers as P
     import tiktoken
@@ -158,6 +173,7 @@ def test_byte_bpe_of_long_pieces(n):
     for piece in ("-" * n, "a" * n, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n)), "".join(rng.choices("中文的一是不了人我在", k=n // 3))):
         packed = coder.encode_texts([piece])[0]
         assert np.frombuffer(packed, "<u4").tolist() == library.encode_ordinary(piece) and coder.decode(packed) == piece.encode()
+    assert all(len(c) <= bpe.MEMO_LENGTH for c in coder.memo)
 
 
 def test_token_counts(spark, edges, texts, tmp_path, monkeypatch):

@@ -7,7 +7,8 @@ whole texts are scored by array arithmetic without a loop over words.
 
 Defined results: null and empty texts have no feature and get the score of the output bias; equal texts get equal
 scores; rows without a label are scored like any other; conflicting labels of repeated rows all count; with no usable
-labelled rows every score is 0.5; an empty table gives an empty result.
+labelled rows every score is 0.5; long texts are learned from and scored whole, in parts that change nothing; an empty
+table gives an empty result; other input columns, whatever their names, are ignored by score() and kept by keep_good().
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import map_texts, text_or_empty
+from tidewake.llm.common import cut, map_texts, text_or_empty
 
 BUCKETS = 1 << 18
 GRAMS = (3, 5)
 M = 0x9E3779B97F4A7C15
-#: Bounds of the training sample, chosen by a seeded hash of the id: rows, and bytes of a row's text.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 32 << 10
+#: Bounds of the training sample: its rows, taken in order of a seeded hash of the id, and their bytes in all, which end
+#: the sample at the first row beyond them, however long each row is.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 256 << 20
+#: A longer text goes to the driver as the counts of its buckets, which are fewer than BUCKETS.
+LONG_TEXT = 64 << 10
 PIECE = 1 << 20
 
 
@@ -44,38 +48,40 @@ def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 def features(text: str) -> np.ndarray:
-    """Buckets of all features of a whole text, repeats included. Bucket 0 holds immediate repeats of a word."""
+    """Buckets of all features of a whole text, repeats included; the parts it is worked on in change nothing."""
     codes = np.frombuffer(f" {text} ".encode("utf-32-le"), dtype=np.uint32)
-    found = []
-    start = 0
-    while start < len(codes) - 1:
-        end = min(len(codes), start + PIECE)
-        part = codes[start:end]
-        if end < len(codes) and (gaps := np.flatnonzero(part == 32)).size > 1:
-            end = start + int(gaps[-1]) + 1  # the next part starts at this gap
-            part = codes[start:end]
-        found.append(_features(part))
-        start = end - 1 if end < len(codes) else end
-    return np.concatenate(found) if found else np.zeros(0, np.int32)
-
-
-def _features(codes: np.ndarray) -> np.ndarray:
-    c = codes.astype(np.uint64) + np.uint64(1)
-    n = len(c)
-    prefix = np.concatenate([np.zeros(1, np.uint64), (c * _POWER[:n]).cumsum(dtype=np.uint64)])
-    out = []
-    for k in GRAMS:
-        if n >= k:
-            out.append(_bucket((prefix[k:] - prefix[:-k]) * _INVERSE[: n - k + 1], k))
-    gap = (codes == 32) | (codes == 10) | (codes == 9) | (codes == 13)
-    edge = np.diff(np.concatenate([[1], gap.astype(np.int8), [1]]))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    word = (prefix[last] - prefix[first]) * _INVERSE[first]
-    out.append(_bucket(word, 1))
-    if len(word) > 1:
-        same = word[1:] == word[:-1]
-        out.append(np.where(same, 0, _bucket(word[1:] * np.uint64(3) + word[:-1], 2)).astype(np.int32))
-    return np.concatenate(out) if len(first) else np.zeros(0, np.int32)
+    gaps = (codes == 32) | (codes == 10) | (codes == 9) | (codes == 13)
+    if gaps.all():
+        return np.zeros(0, np.int32)
+    found, size = [], len(codes)
+    before = np.zeros(0, np.uint64)  # the last whole word
+    open_hash, open_size = np.uint64(0), 0  # the word that goes on into the part
+    for start in range(0, size, PIECE):
+        n = min(PIECE, size - start)
+        c = codes[start : start + n + max(GRAMS) - 1].astype(np.uint64) + np.uint64(1)  # a gram may end in the next part
+        prefix = np.concatenate([np.zeros(1, np.uint64), (c * _POWER[: len(c)]).cumsum(dtype=np.uint64)])
+        for k in GRAMS:
+            m = min(n, size - start - k + 1)
+            if m > 0:
+                found.append(_bucket((prefix[k : k + m] - prefix[:m]) * _INVERSE[:m], k))
+        gap = gaps[start : start + n]
+        edge = np.diff(np.concatenate([[1], gap.astype(np.int8), [1]]))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        word = (prefix[last] - prefix[first]) * _INVERSE[first]
+        lengths = last - first
+        if open_size and gap[0]:
+            word = np.concatenate([[open_hash], word])
+        elif open_size:
+            word[:1] = word[:1] * np.uint64(pow(M, open_size, 1 << 64)) + open_hash
+            lengths[0] += open_size
+        open_size = 0
+        if not gap[-1]:
+            open_hash, open_size, word = word[-1], int(lengths[-1]), word[:-1]
+        found.append(_bucket(word, 1))
+        word = np.concatenate([before, word])
+        found.append(_bucket(word[1:] * np.uint64(3) + word[:-1], 2))
+        before = word[-1:]
+    return np.concatenate(found)
 
 
 @dataclass
@@ -89,16 +95,21 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
 
-def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 4, rate: float = 20.0, batch: int = 32, seed: int = 2) -> Model:
-    """Stochastic gradient descent on the cross entropy of the softmax."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and how often each occurs."""
+    return np.unique(features(text), return_counts=True)
+
+
+def train(texts: list[str], labels: list[int], **settings) -> Model:
+    return learn([(*counted(t), int(label)) for t, label in zip(texts, labels)], **settings)
+
+
+def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 4, rate: float = 20.0, batch: int = 32, seed: int = 2) -> Model:
+    """Stochastic gradient descent on the cross entropy of the softmax. rows: buckets, their counts, label."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     output, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    docs = []
-    for text, label in zip(texts, labels):
-        ids, counts = np.unique(features(text), return_counts=True)
-        if len(ids):
-            docs.append((ids, (counts / counts.sum()).astype(np.float32), int(label)))
+    docs = [(ids, (counts / counts.sum()).astype(np.float32), label) for ids, counts, label in rows if len(ids)]
     if len({d[2] for d in docs}) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     epochs = max(epochs, -(-100 * batch // len(docs)))  # small samples get a hundred steps too
@@ -135,11 +146,32 @@ def fold(key: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most ``rows`` labelled rows that are not held out, of at most SAMPLE_BYTES each."""
-    usable = labels.filter(F.col(label).isin(0, 1) & ~held_out).select(key, F.col(label).cast("int").alias("label")).orderBy(F.xxhash64(F.lit(7), key), "label").limit(rows)
-    own = docs.select(key, text_or_empty().alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(usable), key)
-    sample = own.orderBy(F.xxhash64(F.lit(7), key), "label", "text").limit(rows).collect()
-    return train([r["text"] for r in sample], [r["label"] for r in sample])
+    """Learns from at most ``rows`` rows that are labelled and not held out, and SAMPLE_BYTES of them."""
+    order = F.xxhash64(F.lit(7), key)
+    known = labels.filter(F.col(label).isin(0, 1) & ~held_out).select(key, F.col(label).cast("int").alias("label"))
+    # Ids alone meet first, so that the bound counts rows that are there.
+    chosen = known.join(docs.select(key), key, "left_semi").orderBy(order, "label").limit(rows)
+    own = docs.select(key, text_or_empty().alias("text")).join(F.broadcast(chosen), key).orderBy(order, "label", F.md5(F.col("text").cast("binary"))).limit(rows)
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(1).to_pylist()
+            packed = [(t, None, None) if len(t) <= LONG_TEXT else (None, *(x.astype(np.int32).tobytes() for x in counted(t))) for t in texts]
+            short, ids, counts = ([p[i] for p in packed] for i in range(3))
+            sizes = [len(a.encode()) if a is not None else len(b) + len(c) for a, b, c in packed]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), pa.array(sizes, pa.int64())], names=["label", "text", "ids", "counts", "size"])
+
+        return work
+
+    sample = cut(map_texts(own.select("label", "text"), "text", "label int, text string, ids binary, counts binary, size long", make), "labelled-sample")
+    place = sample.select("size", F.monotonically_increasing_id().alias("place"))  # one file, in the order above
+    sizes = [r["size"] for r in place.orderBy("place").collect()]
+    n = int(np.searchsorted(np.cumsum([0, *sizes]), SAMPLE_BYTES, side="right")) - 1
+    learned = []
+    for r in sample.withColumn("place", F.monotonically_increasing_id()).orderBy("place").limit(n).collect():
+        ids, counts = counted(r["text"]) if r["text"] is not None else (np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32))
+        learned.append((ids, counts, r["label"]))
+    return learn(learned)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
