@@ -156,6 +156,8 @@ def test_workload_compression(spark):
     made = workload.generate(spark, 20, 400)
     rows = made.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("t")).collect()
     assert {r["kind"]: r["n"] for r in rows} == {"flat": 20 * 400} and rows[0]["t"] >= workload.START_MS + 14_999
+    keys = spark.range(5).select(workload.series_key(F.col("id")).alias("k"))
+    assert [r["k"] for r in keys.collect()] == ["cpu.usage{host=h0,inst=0}", "mem.used{host=h0,inst=1}", "net.rx{host=h0,inst=2}", "disk.io{host=h0,inst=3}", "http.reqs{host=h0,inst=4}"]
     own = spark.createDataFrame([(i,) for i in (49, 50, 79, 80, 100)], "i long").select(workload.metric_kind(F.col("i")).alias("k"))
     assert [r["k"] for r in own.collect()] == ["flat", "counter", "counter", "wander", "flat"]
 

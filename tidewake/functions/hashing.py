@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: Offset basis, prime and mixing constants of the ring hash.
 BASIS, PRIME = 1469598103934665603, 1099511628211
-GOLDEN, MIX_1, MIX_2 = 11400714819323198485, 13787848793156543929, 10723151780598845931
+GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def fnv1a(strings: list[str]) -> np.ndarray:

@@ -346,9 +346,9 @@ ORACLE_SQL = {
     "health_transitions": "WITH p AS (SELECT user_id % 8 AS node, event_id AS seq, event_type <> 'error' AS ok FROM events), g AS (SELECT *, sum(ok::INT) OVER (PARTITION BY node ORDER BY seq) AS run FROM p), m AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY node, run ORDER BY seq) AS misses FROM g), b AS (SELECT *, lag(misses) OVER (PARTITION BY node ORDER BY seq) AS before FROM m) SELECT node, seq, CASE WHEN ok THEN 'recover' ELSE 'evict' END AS event FROM b WHERE (NOT ok AND misses = 2) OR (ok AND before >= 2)",
     "latency_percentiles": percentile_sql(),
     "under_threshold": "SELECT max(value) AS largest, round(avg(CASE WHEN value <= 50 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, round(avg(value), 4) AS mean FROM events",
-    "series_key_gen": "SELECT i, ['cpu.usage', 'mem.used', 'disk.io', 'net.bytes', 'http.latency'][i % 5 + 1] || '{host=h' || (i // 5) % 256 || ',inst=' || i || '}' AS key FROM range(1000) t(i)",
+    "series_key_gen": "SELECT i, ['cpu.usage', 'mem.used', 'net.rx', 'disk.io', 'http.reqs'][i % 5 + 1] || '{host=h' || (i // 5) % 256 || ',inst=' || i || '}' AS key FROM range(1000) t(i)",
     "metric_kind": "SELECT i, CASE WHEN i % 100 < 50 THEN 'flat' WHEN i % 100 < 80 THEN 'counter' ELSE 'wander' END AS kind FROM range(1000) t(i)",
-    "counter_series": "SELECT ['cpu.usage', 'mem.used', 'disk.io', 'net.bytes', 'http.latency'][i % 5 + 1] || '{host=h' || (i // 5) % 256 || ',inst=' || i || '}' AS key, s AS seq, 1700000000000 + 15000 * (s + 1) AS ts_ms, (1000 + 2 * (s + 1))::DOUBLE AS value FROM range(50, 70) t(i), range(100) u(s)",
+    "counter_series": "SELECT ['cpu.usage', 'mem.used', 'net.rx', 'disk.io', 'http.reqs'][i % 5 + 1] || '{host=h' || (i // 5) % 256 || ',inst=' || i || '}' AS key, s AS seq, 1700000000000 + 15000 * (s + 1) AS ts_ms, (1000 + 2 * (s + 1))::DOUBLE AS value FROM range(50, 70) t(i), range(100) u(s)",
     "node_spec_parse": "SELECT split_part(t, '=', 1) AS node, substr(t, instr(t, '=') + 1) AS addr FROM (SELECT trim(unnest(string_split('node0=node0:50051, node1=node1:50051,' || chr(10) || '  node2=node2:50051,,broken, =x', ',')), ' ' || chr(9) || chr(10)) AS t) WHERE instr(t, '=') > 0",
     "stream_chunk_seal": f"WITH {CH}, {META} SELECT * FROM meta WHERE n = 1024",
     "stream_ingest": f"WITH {EV} SELECT key, count(*) AS samples FROM ev GROUP BY key",

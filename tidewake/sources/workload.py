@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names of the metrics, in order of their number.
-METRICS = ["cpu.usage", "mem.used", "disk.io", "net.bytes", "http.latency"]
+METRICS = ["cpu.usage", "mem.used", "net.rx", "disk.io", "http.reqs"]
 STEP_MS, START_MS, SEED = 15_000, 1_700_000_000_000, 1234
 
 
