@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import json
 import random
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -134,6 +135,59 @@ def test_html(spark):
     assert QUERIES["op3_html"](spark, SF).filter("n_chars > 0").count() == 50
 
 
+A, B, C, D = (f"{w} sentence of the article, which is long enough to be dense and ends in a full stop." for w in ("A first", "The second", "Another", "One last"))
+ARTICLE = f"<h1>Title</h1><p>{A}</p><p>{B}</p>"
+TEXT = f"Title\n{A}\n{B}"
+LINKS = "".join(f'<li><a href="/{i}">Menu entry {i}</a></li>' for i in range(8))
+#: Page and expected text.
+PAGES = {
+    "wrapper that says it has a sidebar": (f"<body><div class='has-sidebar'>{ARTICLE}</div><div class='sidebar'>About us</div></body>", TEXT),
+    "wrapper that says it has no comments": (f"<body><div class='post no-comments'>{ARTICLE}</div></body>", TEXT),
+    "words of a title attribute": (f"<body><div title='the hidden garden' data-role='class nav'>{ARTICLE}</div></body>", TEXT),
+    "heading with a telling id": (f"<body><div>{ARTICLE}<h2 id='related-work'>Related work</h2><p>{C}</p></div></body>", f"{TEXT}\nRelated work\n{C}"),
+    "menus without a name": (f"<body><div><ul>{LINKS}</ul></div><div>{ARTICLE}</div><div><ul>{LINKS}</ul></div></body>", TEXT),
+    "advert without a name": (f"<body><div>Save now: <a href=x>buy the best shoes in our shop</a></div><div>{ARTICLE}<p>{C}</p></div></body>", f"{TEXT}\n{C}"),
+    "footer without a name": (f"<body><div>{ARTICLE}<p>{C}</p><p>{D}</p></div><div>All rights reserved.</div></body>", f"{TEXT}\n{C}\n{D}"),
+    "menu without a name inside": (f"<body><article>{ARTICLE}<div><ul>{LINKS}</ul></div><p>{C}</p></article></body>", f"{TEXT}\n{C}"),
+    "advert by name inside": (f"<body><article><h1>Title</h1><p>{A}</p><div class='ad-slot top'>Buy more of our fine things today.</div><p>{B}</p></article></body>", TEXT),
+    "notice, dialog, hidden parts": (f"<body><div id='cookie-notice'><p>We use cookies.</p><p>Really.</p></div><div role='dialog'>Sign in</div><div hidden>secret</div><div style='display: none'>no</div><main>{ARTICLE}</main></body>", TEXT),
+    "readers write more than the author": (f"<body><article>{ARTICLE}</article><section id='comments'><ol class='comment-list'>" + "".join(f"<li class='comment'><p>Reader {i} has a lot to say about this and says it at length here.</p></li>" for i in range(9)) + "</ol></section></body>", TEXT),
+    "a form around all": (f"<body><form id='aspnetForm'><div id='menu'>{LINKS}</div><div>{ARTICLE}</div></form></body>", TEXT),
+    "a form of its own": (f"<body><div>{ARTICLE}</div><form>Your name <input><select><option>red<option>blue</select><button>Send</button></form></body>", TEXT),
+    "header of the site, header of the article": (f"<body><header><h1>The Daily</h1><p>News since ever</p></header><article><header><h1>Title</h1></header><p>{A}</p><p>{B}</p></article></body>", TEXT),
+    "title beside the text": (f"<body><div class='page'><div class='entry-header'><h1>Title</h1></div><div class='body'><p>{A}</p><p>{B}</p></div></div></body>", TEXT),
+    "intro between title and text": (f"<body><div><h1>Title</h1><div class='lead'>{A}</div><div class='body'><p>{B}</p><p>{C}</p><p>{D}</p><p>{A}</p></div></div></body>", f"Title\n{A}\n{B}\n{C}\n{D}\n{A}"),
+    "sections": (f"<body><main><section class='s'><h2>One</h2><p>{A}</p><p>{B}</p></section><section class='s'><h2>Two</h2><p>{C}</p></section></main></body>", f"One\n{A}\n{B}\nTwo\n{C}"),
+    "flat body": (f"<h1>Title</h1><p>{A}<p>{B}<ul>{LINKS}</ul>", TEXT),
+    "table for layout": (f"<table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td>{ARTICLE}</td></tr></table>", TEXT),
+    "lists, tables, quotes": (f"<article><h1>Title</h1><p>{A}</p><ul><li>one<li>two</ul><table><tr><th>k<th>v<tr><td>1<td>2</table><blockquote>{B}</blockquote><pre>a  b\n c</pre></article>", f"Title\n{A}\none\ntwo\nk\nv\n1\n2\n{B}\na b c"),
+    "references, breaks, inline marks": (f"<article><p>{A} &lt;b&gt; &eacute;&#233;&#xE9; <b>bo</b>ld<br>next&nbsp;one</p><p>{B}</p></article>", f"{A} <b> ééé bold next one\n{B}"),
+    "definitions and figures": (f"<article><p>{A}</p><dl><dt>term<dd>meaning of it</dl><figure><img alt=no><figcaption>A caption</figcaption></figure><p>{B}</p></article>", f"{A}\nterm\nmeaning of it\nA caption\n{B}"),
+    "comments in code": (f"<article><p>{A}</p><pre><span class='comment'># why</span> x = 1</pre><p>{B}</p></article>", f"{A}\n# why x = 1\n{B}"),
+    "elements of its own": (f"<cookie-banner>We use cookies</cookie-banner><my-article>{ARTICLE}</my-article><site-footer>The end</site-footer>", TEXT),
+    "menu alone": (f"<nav><ul>{LINKS}</ul></nav>", ""),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_html_pages(name):
+    page, want = PAGES[name]
+    assert html_text.extract(page) == want
+
+
+def test_html_density_decides(monkeypatch):
+    unnamed = [name for name in PAGES if "without a name" in name]
+    monkeypatch.setattr(html_text, "main_nodes", lambda root: ([root], 0.0))
+    assert len(unnamed) == 4 and all(html_text.extract(PAGES[n][0]) != PAGES[n][1] for n in unnamed)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 25000 + "</i>" * 25000, "<i><div>" + "<b>" * 25000 + "</i>" * 25000, "<a" * 100000, "<svg>" * 50000, "<b>" * 20000 + "<li>" * 20000, "<table><tr><td><table>" + "<div>" * 20000 + "<td></td>" * 20000, "<div class=nav>" * 20000 + "x"], ids=range(7))
+def test_html_time_grows_with_length(page):
+    start = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - start < 5
+
+
 @pytest.mark.parametrize("name", ["script", "STYLE", "Select", "svg"])
 def test_html_after_characters_that_lower_lengthens(name):
     capital = "\u0130" * 40
