@@ -275,23 +275,63 @@ def test_secrets_of_any_length_and_characters():
     assert "AKIA" not in secrets.redact(inner, secrets.findings([inner], forest)[0][1])
 
 
+def brute_force(ids, v, q, k=10):
+    d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(axis=1))
+    return [(int(ids[i]), d[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:k], dict(zip(ids.tolist(), d))
+
+
 def test_neighbours(spark):
-    rows = QUERIES["op7_neighbours"](spark, "/root/testdata/sf0.01").collect()
-    t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    folder = "/root/testdata/sf0.1"
+    rows = QUERIES["op7_neighbours"](spark, folder).collect()
+    t = pq.read_table(f"{folder}/embeddings.parquet")
     ids, v = np.array(t["vec_id"].to_pylist()), np.array(t["embedding"].to_pylist(), dtype=np.float64)
     hits = total = 0
     for q in ids[ids % 100 == 0]:
-        d = np.sqrt(((v - v[ids == q]) ** 2).sum(axis=1))
-        best = [int(ids[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:10]
-        got = {r["vec_id"]: r["score"] for r in rows if r["query_id"] == q}
-        assert len(got) == 10 and all(s == pytest.approx(d[ids == k][0], rel=1e-12) for k, s in got.items())
-        hits, total = hits + len(set(best) & set(got)), total + 10
+        best, d = brute_force(ids, v, q)
+        got = sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in got] == list(range(1, 11)) and got == sorted(got, key=lambda r: (r["score"], r["vec_id"]))
+        assert all(r["score"] == pytest.approx(d[r["vec_id"]], rel=1e-12) for r in got)
+        hits, total = hits + len({x for x, _ in best} & {r["vec_id"] for r in got}), total + 10
     assert hits / total >= 0.9
+    # The test stops early, in one part and in several, and no part is searched twice.
+    df = spark.read.parquet(f"{folder}/embeddings.parquet")
+    for cell in (neighbours.CELL, 300):
+        found = neighbours.find(df, F.col("id") % 100 == 0, cell=cell).collect()
+        assert sum(r["verified"] for r in found) < (0.2 if cell > 300 else 0.4) * len(ids) * 20
+        assert len(found) == 20 if cell > 300 else 20 < len(found) <= 20 * 16
+        several = {q: sorted((s, x) for r in found if r["id"] == q for s, x in zip(r["scores"], r["ids"]))[:10] for q in ids[ids % 100 == 0].tolist()}
+        assert np.mean([len({x for _, x in own} & {x for x, _ in brute_force(ids, v, q)[0]}) / 10 for q, own in several.items()]) >= 0.9
+
+
+def test_neighbours_in_clusters_leave_cells_closed(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((8, 6)) * 1000
+    rows = [(i, (centres[i % 8] + rng.standard_normal(6)).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.find(df, F.col("id") % 100 == 0, cell=200).collect()
+    assert len(found) <= 16 * 4
+    ids, v = np.arange(1600), np.array([r[1] for r in rows])
+    got = neighbours.nearest(df, F.col("id") % 100 == 0, cell=200).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(q, x) for q in range(0, 1600, 100) for x, _ in brute_force(ids, v, q)[0]]  # six dimensions: exact
+
+
+def test_neighbours_of_odd_rows(spark):
     odd = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [3.0, 0.0]), (8, [1.0]), (None, [1.0, 1.0])]
-    df = spark.createDataFrame(odd, "vec_id long, embedding array<float>")
-    got = neighbours.nearest(df, F.col("id") == 0, block=2, query_block=1).orderBy("rank").collect()
-    assert [tuple(r) for r in got] == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 7, 2.0)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in odd], "vec_id long, embedding array<float>, id long, cell int")
+    for cell in (2, 100):
+        got = neighbours.nearest(df, F.col("id") == 0, cell=cell).orderBy("rank").collect()
+        assert [tuple(r) for r in got] == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 7, 2.0)]
     assert neighbours.nearest(empty(df), F.col("id") == 0).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)] + [(300, [1.0, 2.5])], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(same, F.col("id") % 100 == 0, cell=20).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(q, x) for q in (0, 100, 200, 300) for x in [x for x in range(12) if x != q][:10]]
+
+
+@pytest.mark.parametrize("dim", [1, 2, 7, 40])
+def test_chi_square(dim):
+    draws = (np.random.default_rng(dim).standard_normal((40_000, dim)) ** 2).sum(axis=1)
+    for p in (0.1, 0.5, 0.82, 0.99):
+        assert (draws <= neighbours.chi_square_bound(p, dim)).mean() == pytest.approx(p, abs=0.01)
 
 
 def by_hand(docs):
