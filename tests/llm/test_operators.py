@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import time
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -74,7 +75,31 @@ def test_sharding_of_equal_rows(spark, monkeypatch):
     assert place(out) == place(again)
     hashed = df.withColumn("__hash", sharding.scatter_hash("doc_id", "text", 1))
     hot = hashed.filter("doc_id = 1 AND text = 'the same row'").select("__hash").distinct()
-    assert sharding.scatter_equals(hashed, hot, 1).select("__hash").distinct().count() >= 300
+    assert sharding.scatter_equals(hashed, hot, "__hash", 1).select("__hash").distinct().count() >= 300
+
+
+def test_sharding_by_brute_force(spark, texts):
+    rows = {r["doc_id"]: r for r in QUERIES["op1_sharding"](spark, SF).collect()}
+    assert set(rows) == set(texts)
+    for k, t in texts.items():
+        raw = (t or "").encode()
+        assert tuple(rows[k])[1:4] == (len(raw) + 1, zlib.crc32(raw), "rows") and rows[k]["grown_shard"] is None
+
+
+def test_sharding_has_a_task_a_bucket_and_writes_whole_rows(spark, tmp_path):
+    rows = [(i, f"text {i} " * 20, "a", i % 3, {"k": i}) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __hash string, __bucket int, more map<string,int>")
+    size = df.select(F.sum(sharding.row_weight(df))).first()[0]
+    out = sharding.shuffle_shards(df, 3, bucket_bytes=-(-size // 20))
+    assert "hashpartitioning(___bucket" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
+    back = sharding.write_shards(out, str(tmp_path / "shards"))
+    assert sorted(tuple(r)[:5] for r in back.collect()) == sorted(rows, key=lambda r: r[0])
+    for shard in range(3):
+        for file in (tmp_path / "shards" / f"shard={shard}").glob("*.parquet"):
+            slots = pq.ParquetFile(file).read(columns=["slot"])["slot"].to_pylist()
+            assert slots == sorted(slots)
+        own = sorted(r["slot"] for r in back.filter(F.col("shard") == shard).collect())
+        assert own == list(range(len(own))) and 166 <= len(own) <= 167
 
 
 def test_quality(spark, edges):
@@ -420,7 +445,7 @@ def test_chat(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_chat_validates_by_the_tools_of_the_conversation(spark, tmp_path):
+def test_chat_validates_by_the_tools_of_the_conversation(spark):
     kinds = {"i": "integer", "s": "string", "n": "number", "b": "boolean", "o": "object", "l": "array", "z": "null", "m": ["string", "null"]}
     tools = [{"name": "f", "parameters": {"properties": {**{k: {"type": v} for k, v in kinds.items()}, "any": {}}, "required": ["i", "q"]}}, {"type": "function", "function": {"name": "g"}}]
     good = {"i": 5, "s": "5", "n": 1.5, "b": True, "o": {"x": 1}, "l": [1], "z": None, "m": None, "any": [], "q": 0}
@@ -430,11 +455,67 @@ def test_chat_validates_by_the_tools_of_the_conversation(spark, tmp_path):
     rows = [(1, 0, "system", json.dumps({"tools": tools}))] + [(1, i + 1, "assistant", text(("c", n, a))) for i, (n, a, _) in enumerate(cases)]
     rows += [(1, 20, "assistant", text((None, "f", bad), (None, "h", {})))] * 2 + [(1, None, "assistant", text(("c", "h", {}))), (2, 0, "assistant", text(("c", "f", good))), (2, 1, "tool", json.dumps({"tool_call_id": "c", "content": "3"}))]
     want = [(1, 0, 0), *((1, i + 1, c[2]) for i, c in enumerate(cases)), (1, 20, 11), (1, 20, 11), (1, None, 1), (2, 0, 1), (2, 1, 0)]
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = QUERIES["op9_chat"](spark, str(tmp_path)).collect()
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted(map(str, ((r["conv_id"], r["turn"], r["n_faults"]) for r in got))) == sorted(map(str, want))
 
 
+CHAT = "conv_id long, turn long, role string, text string, j int, message int, name string, calls int"
+
+
+def formatted(spark, *texts, role="assistant"):
+    rows = [(1, i, role, t if t is None or isinstance(t, str) else json.dumps(t), 1, 2, "x", 3) for i, t in enumerate(texts)]
+    return [(r["n_calls"], r["n_faults"], r["link"], json.loads(r["line"]) | {"line": r["line"]}) for r in sorted(chat.format_chats(spark.createDataFrame(rows, CHAT)).collect(), key=lambda r: r["turn"])]
+
+
+def test_chat_keeps_types_and_all_members(spark):
+    inner = {"b": [1, 2.5, True, None, {"z": "é\n", "y": "\""}], "a": 1}
+    shapes = [
+        {"tool_calls": [{"id": "c", "name": "f", "arguments": inner}]},
+        {"tool_calls": [{"id": "c", "function": {"name": "f", "arguments": inner}}]},
+        {"tool_calls": [{"type": "function", "id": "c", "function": {"strict": True, "arguments": json.dumps(inner), "name": "f"}}], "model": "m", "content": {"k": [1]}},
+        {"tool_calls": [{"id": 7, "name": "f", "arguments": "not json"}, "odd", None, {"name": "f"}]},
+        {"tool_calls": []},
+        {"content": "plain"},
+        '{"tool_calls": [',
+        "  {}\n",
+        '{"tool_calls":[{"id":"c"}]} and more',
+        '{"tool_calls":[{"id":"c"}]} {"b":2}',
+        '{"tool_calls":[{"id":"c"}]},{"b":2}',
+        None,
+        "",
+    ]
+    got = formatted(spark, *shapes)
+    call = {"id": "c", "name": "f", "arguments": inner}
+    assert [g[3].get("tool_calls") for g in got[:3]] == [[call], [call], [call | {"type": "function", "function": {"strict": True}}]]
+    assert '"arguments":{"a":1,"b":[1,2.5,true,null,{"y":"\\"","z":"é\\n"}]}' in got[0][3]["line"]
+    assert (got[2][3]["model"], got[2][3]["content"]) == ("m", {"k": [1]})
+    assert got[3][3]["tool_calls"] == [{"id": 7, "name": "f", "arguments": "not json"}, "odd", None, {"id": None, "name": "f", "arguments": None}]
+    assert [g[:3] for g in got] == [(1, 1, "call")] * 3 + [(4, 4, "call")] + [(0, 0, "none")] * 9
+    assert [g[3]["content"] for g in got[4:]] == [x if x is None or isinstance(x, str) else json.dumps(x) for x in shapes[4:]]
+    results = formatted(spark, {"tool_call_id": "c", "content": {"b": 1, "a": [True]}, "is_error": False, "role": "x"}, {"tool_call_id": 5}, role="tool")
+    assert [g[2] for g in results] == ["orphan", "orphan"] and '"tool_call_id":"c","content":{"a":[true],"b":1},"is_error":false}' in results[0][3]["line"]
+    assert results[1][3]["tool_call_id"] == 5 and results[1][3]["content"] is None
+
+
+def test_chat_faults_belong_to_one_message(spark):
+    tools = json.dumps({"tools": [{"name": "f", "parameters": {"properties": {"a": {"type": "integer"}}, "required": ["a"]}}]})
+    call = lambda a, i="c": json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": a}]})
+    rows = [(1, 0, "system", tools), (1, 1, "assistant", call({})), (1, 1, "assistant", call({"a": 1})), (1, 1, "user", "hi"), (1, 2, "assistant", call({"a": "1"})), (1, 2, "assistant", call({"a": "1"}))]
+    rows += [(1, 3, "tool", json.dumps({"tool_call_id": "c"})), (1, 0, "tool", json.dumps({"tool_call_id": "c"})), (None, 1, "assistant", call({"a": 1})), (None, None, "tool", json.dumps({"tool_call_id": "c"}))]
+    got = chat.format_chats(spark.createDataFrame([(*r, 0, 0, "", 0) for r in rows], CHAT)).collect()
+    assert sorted(map(str, ((r["conv_id"], r["turn"], r["order_turn"], r["order_step"], r["n_faults"], r["link"]) for r in got))) == sorted(
+        map(str, [(1, 0, 0, 0, 0, "none"), (1, 1, 1, 0, 1, "call"), (1, 1, 1, 0, 0, "call"), (1, 1, 1, 0, 0, "none"), (1, 2, 2, 0, 1, "call"), (1, 2, 2, 0, 1, "call"), (1, 3, 3, 0, 0, "result"), (1, 0, 1, 1, 0, "result"), (None, 1, 1, 0, 1, "call"), (None, None, None, 0, 0, "orphan")])
+    )
+
+
+def test_chat_query_links_orders_and_validates(spark):
+    out = QUERIES["op9_chat"](spark, SF)
+    counts = {(r["link"], r["order_step"], r["n_faults"]): r["count"] for r in out.groupBy("link", "order_step", "n_faults").count().collect()}
+    assert set(counts) == {("none", 0, 0), ("call", 0, 0), ("call", 0, 1), ("result", 1, 0), ("orphan", 0, 0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Join" in plan
+
+
 def test_decontamination(spark, edges):
     item = "one two three four five six seven eight nine ten eleven"
     bench = spark.createDataFrame([(1, item), (2, "short Éa item"), (3, None), (4, "--"), (5, item)], "item_id long, text string")
@@ -451,6 +532,35 @@ def test_decontamination(spark, edges):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("size", [1 << 30, 0])
+def test_decontamination_of_windows_of_all_lengths(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
+    rng = random.Random(6)
+    word = lambda k: " ".join(rng.choices("abcde", k=k))
+    items = [(i, word(i % 12)) for i in range(1, 40)] + [(40, None), (None, word(11))]
+    docs = [(i, word(rng.choice([0, 1, 5, 30, 60]))) for i in range(60)] + [(7, None)] * 2
+    bench = spark.createDataFrame([(*x, 0, []) for x in items], "item_id long, text string, n int, items array<string>")
+    df = spark.createDataFrame([(*x, "h", 0) for x in docs], "doc_id long, text string, digest string, at int")
+    want = []
+    for k, text in docs:
+        w, hit, own = (text or "").split(), set(), set()
+        for item, t in items:
+            if item is None or not t:
+                continue
+            g = t.split()
+            n = min(10, len(g))
+            grams = {tuple(g[i : i + n]) for i in range(len(g) - n + 1)}
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in grams:
+                    hit.update(range(i, i + n))
+                    own.add(str(item))
+        want.append((k, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)))
+    out = decontaminate.scan(df, bench)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = decontaminate.hits(spark.read.parquet(f"{SF}/documents.parquet"), bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") <= 1
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, name):
     import duckdb
