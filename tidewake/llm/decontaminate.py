@@ -1,8 +1,8 @@
 """Operator 10, benchmark decontamination: a broadcast hash set of the normalised n-grams of the benchmark.
 
 All on DataFrame functions. Document windows are reduced to a 64-bit hash each and looked up in the set; hits are then
-compared word by word. The set is broadcast while it has at most ``BROADCAST_WINDOWS`` windows (about 100 bytes each);
-a larger one is joined by a shuffle on the hash. Hits are gathered by the text's digest, so a text that many rows share
+compared word by word. The documents are scanned once, whatever the lengths of the windows. The set is broadcast while
+its rows take at most ``BROADCAST_BYTES``; a larger one is joined by a shuffle on the hash. Hits are gathered by the text's digest, so a text that many rows share
 is counted once, and null or repeated ids do no harm; rows meet the hits of their text by a lookup that spreads hot texts.
 
 Defined results: null, empty and wordless texts have no words, no hits and the digest of the empty string; an item of
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import cut, look_up, text_or_empty
 
 WINDOW = 10
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+#: Digests of texts with hits, 100 bytes each, that are broadcast.
+BROADCAST_DIGESTS = 500_000
 #: Everything but digits, small letters and what is not ASCII, once A-Z are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -59,30 +61,39 @@ def text_digest(text: str = "text") -> Column:
     return F.sha2(text_or_empty(text).cast("binary"), 256)
 
 
+def set_bytes() -> Column:
+    """Bytes of a row of benchmark_windows(), with what a hash table adds."""
+    texts = lambda c: F.octet_length(F.concat_ws("", c)) + 16 * F.size(c)
+    return F.sum(texts(F.col("gram")) + texts(F.col("items")) + 64)
+
+
 def hits(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """digest, n_hit, n_items, joined (the items) of each distinct text that holds a window of the benchmark."""
-    windows = benchmark_windows(benchmark)
-    by_length = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most ten rows
-    small = sum(by_length.values()) <= BROADCAST_WINDOWS
+    """digest, n_hit, n_items, items_sha256 of each distinct text that holds a window of the benchmark."""
+    windows = cut(benchmark_windows(benchmark), "windows")
+    by_length = {r["n"]: r["b"] for r in windows.groupBy("n").agg(set_bytes().alias("b")).collect()}  # at most ten rows
+    small = sum(by_length.values()) <= BROADCAST_BYTES
+    lengths = sorted(by_length) or [WINDOW]
     tokens = documents.select(text_digest(text).alias("digest"), words(text).alias("w"))
-    found = None
-    for n in sorted(by_length) or [WINDOW]:
-        # One row a window, hashed, looked up and compared in one generated loop; the array of words is only passed along.
-        own = tokens.select("digest", "w", F.posexplode("w").alias("at", "word")).filter(F.col("at") <= F.size("w") - n)
-        own = own.select("digest", "w", "at", F.xxhash64(F.slice("w", F.col("at") + 1, n)).alias("h"))
-        if not small:  # the rows are shuffled then, and must not carry a whole document each
-            own = own.select("digest", "at", "h", F.slice("w", F.col("at") + 1, n).alias("here"))
-        here = F.slice("w", F.col("at") + 1, n) if small else F.col("here")
-        wanted = windows.filter(F.col("n") == n).drop("n")
-        # Two inequalities: an equality would become a join key and be built for every window, not for hits alone.
-        hit = own.join(F.broadcast(wanted) if small else wanted, "h").filter((here <= F.col("gram")) & (here >= F.col("gram"))).select("digest", "at", F.lit(n).alias("n"), "items")
-        found = hit if found is None else found.unionByName(hit)
+    # One row a window, hashed, looked up and compared in one generated loop; the array of words is only passed along.
+    at, size = F.col("at"), F.size("w")
+    own = tokens.select("digest", "w", F.posexplode("w").alias("at", "word")).filter(at <= size - lengths[0])
+    if len(lengths) == 1:
+        own = own.select("digest", "w", "at", F.lit(lengths[0]).alias("n"), F.xxhash64(F.slice("w", at + 1, lengths[0])).alias("h"))
+    else:
+        each = [F.struct(F.lit(n).alias("n"), F.when(at <= size - n, F.xxhash64(F.slice("w", at + 1, n))).alias("h")) for n in lengths]
+        own = own.select("digest", "w", "at", F.explode(F.array(*each)).alias("e")).filter("e.h IS NOT NULL").select("digest", "w", "at", "e.n", "e.h")
+    here = F.slice("w", at + 1, F.col("n"))
+    if not small:  # the rows are shuffled then, and must not carry a whole document each
+        own, here = own.select("digest", "at", "n", "h", here.alias("here")), F.col("here")
+    wanted = windows.drop("n")
+    # Two inequalities: an equality would become a join key and be built for every window, not for hits alone.
+    found = own.join(F.broadcast(wanted) if small else wanted, "h").filter((here <= F.col("gram")) & (here >= F.col("gram"))).select("digest", "at", "n", "items")
     # A text's hits are no more than its words.
     return (
         found.groupBy("digest")
         .agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("hits"), F.collect_set("items").alias("sets"))
         .select("digest", "hits", F.sort_array(F.array_distinct(F.flatten("sets"))).alias("items"))
-        .select("digest", covered().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("joined"))
+        .select("digest", covered().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
     )
 
 
@@ -96,18 +107,17 @@ def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         "n_words",
         hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.sha2(F.coalesce("joined", F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of the benchmark. Rows are matched by the digest of their text; up to
-    BROADCAST_WINDOWS digests of texts with hits are broadcast, so that no document is shuffled, and more are joined."""
-    bad = cut(hits(documents, benchmark).select(F.col("digest").alias("__digest")), "contaminated")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_WINDOWS else bad
-    keyed = documents.withColumn("__digest", text_digest())
-    return keyed.join(bad, "__digest", "left_anti").select(*documents.columns)
+    BROADCAST_DIGESTS digests of texts with hits are broadcast, so that no document is shuffled, and more are joined."""
+    bad = cut(hits(documents, benchmark).select("digest"), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_DIGESTS else bad
+    return documents.join(bad, text_digest() == bad["digest"], "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
