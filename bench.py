@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -26,7 +27,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from tidewake.operators import chunks, codec, ranges, stats
     from tidewake.plans.registry import QUERIES
-    from tidewake.sources import workload
+    from tidewake.sources import tables, workload
 
     def timed(make) -> float:
         best = float("inf")
@@ -37,15 +38,35 @@ def main() -> None:
         return round(best, 3)
 
     out = {n: timed(lambda n=n: QUERIES[n](spark, sf)) for n in NAMES}
-    # Scan rate over generated doubles, and the ratio of the described workload at a tenth of its size.
-    doubles = spark.range(20_000_000, numPartitions=int(cpus)).select((F.pmod(F.col("id") * 2654435761, F.lit(10007)) - 5000).cast("double").alias("value"))
-    out["aggregate_20m"] = timed(lambda: doubles.agg(*[c.alias(n) for n, c in ranges.aggregates().items()]))
+    # Scan rate over doubles that are there, in memory as columns; and with their generation, as in earlier rounds.
+    n = 20_000_000
+    doubles = spark.range(n, numPartitions=int(cpus)).select((F.pmod(F.col("id") * 2654435761, F.lit(10007)) - 5000).cast("double").alias("value"))
+    wanted = [c.alias(name) for name, c in ranges.aggregates().items()]
+    out["aggregate_20m"] = timed(lambda: doubles.agg(*wanted))
+    held = doubles.cache()
+    held.count()
+    out["aggregate_20m_in_memory"] = timed(lambda: held.agg(*wanted))
+    held.unpersist()
+    # Ratios of the described workload at a tenth of its size; then encoding and writing alone, over samples that are there.
     made = workload.generate(spark, 300, 1000).withColumn("key", F.concat_ws("|", "kind", "key"))
     encoded = codec.encode_chunks(chunks.assign_chunks(made.drop("kind"))).withColumn("kind", F.substring_index("key", "|", 1))
     start = time.perf_counter()
     report = {r["kind"] or "all": round(r["ratio"], 3) for r in stats.compression_report(encoded).collect()}
     out["generate_encode_300k"] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(out.values()), 3), "unit": "sec", "queries": out, "sf": sf, "compression": report, "melem_per_s": round(20 / out["aggregate_20m"], 1)}))
+    lists = codec.chunk_lists(chunks.assign_chunks(made.drop("kind"))).crossJoin(spark.range(10).select("id")).drop("id").repartition(4 * int(cpus)).cache()
+    points = lists.agg(F.sum("n")).first()[0]
+    out["encode_3m"] = timed(lambda: codec.encode_lists(lists))
+    one = timed(lambda: codec.encode_lists(lists.limit(lists.count() // 10).coalesce(1)))
+    with tempfile.TemporaryDirectory() as folder:
+        start = time.perf_counter()
+        tables.write_samples(made.select("key", "seq", "ts_ms", "value"), f"{folder}/samples", 8)
+        written = round(time.perf_counter() - start, 3)
+    rates = {
+        "melem_per_s": round(n / 1e6 / out["aggregate_20m"], 1), "melem_per_s_in_memory": round(n / 1e6 / out["aggregate_20m_in_memory"], 1),
+        "encode_points_per_s": round(points / out["encode_3m"]), "encode_points_per_s_one_task": round(points / 10 / one), "encode_speedup": round(points / out["encode_3m"] / (points / 10 / one), 2),
+        "write_points_per_s": round(300_000 / written), "windows_per_s": round(200 / out["range_batch"]),
+    }
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(out.values()), 3), "unit": "sec", "queries": out, "sf": sf, "compression": report, **rates}))
     spark.stop()
 
 

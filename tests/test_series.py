@@ -2,9 +2,11 @@
 
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -42,9 +44,11 @@ def test_codec_bucket_edges_and_sizes():
     for dod in (64, -63, 256, -255, 2048, -2047, 65, -64, 257, -256, 2049):
         step += dod
         ts.append(ts[-1] + step)
-    times, values = codec.encode_streams(ts, np.ones(len(ts)))
-    assert len(times) == 64 + 1 + 9 + 9 + 12 + 12 + 16 + 16 + 12 + 12 + 16 + 16 + 68
+    (_, bits_of_times), _ = codec.encode_streams(ts, np.ones(len(ts)))
+    assert bits_of_times == 64 + 1 + 9 + 9 + 12 + 12 + 16 + 16 + 12 + 12 + 16 + 16 + 68
     assert codec.decode(codec.encode(ts, np.ones(len(ts))))[0] == ts
+    edges = codec.encode(ts[1:], np.ones(len(ts) - 1))
+    assert codec.decode(edges)[0] == ts[1:]
     flat = codec.encode([10000 * (i + 1) for i in range(1000)], np.full(1000, 7.0))
     assert len(flat) == 283
 
@@ -152,14 +156,61 @@ def test_detector_by_hand(spark):
     assert sorted((r["seq"], r["event"]) for r in cluster.transitions(log).collect()) == [(1, "evict"), (3, "recover"), (7, "evict"), (8, "recover")]
 
 
-def test_workload_compression(spark):
-    made = workload.generate(spark, 20, 400)
-    rows = made.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("t")).collect()
-    assert {r["kind"]: r["n"] for r in rows} == {"flat": 20 * 400} and rows[0]["t"] >= workload.START_MS + 14_999
-    keys = spark.range(5).select(workload.series_key(F.col("id")).alias("k"))
-    assert [r["k"] for r in keys.collect()] == ["cpu.usage{host=h0,inst=0}", "mem.used{host=h0,inst=1}", "net.rx{host=h0,inst=2}", "disk.io{host=h0,inst=3}", "http.reqs{host=h0,inst=4}"]
+def test_workload_kinds(spark):
     own = spark.createDataFrame([(i,) for i in (49, 50, 79, 80, 100)], "i long").select(workload.metric_kind(F.col("i")).alias("k"))
     assert [r["k"] for r in own.collect()] == ["flat", "counter", "counter", "wander", "flat"]
+    keys = spark.range(5).select(workload.series_key(F.col("id")).alias("k"))
+    assert [r["k"] for r in keys.collect()] == ["cpu.usage{host=h0,inst=0}", "mem.used{host=h0,inst=1}", "net.rx{host=h0,inst=2}", "disk.io{host=h0,inst=3}", "http.reqs{host=h0,inst=4}"]
+
+
+def draw(number, i, s):
+    """What the workload draws, from the public hash function: 32-bit constants, then 64-bit numbers, each seeding the next."""
+    h = 42
+    for raw in (struct.pack("<i", workload.SEED), struct.pack("<i", number), struct.pack("<q", i), struct.pack("<q", s)):
+        h = xxhash.xxh64_intdigest(raw, h)
+    h -= (h >> 63) << 64
+    return h % (1 << 30) / (1 << 30)
+
+
+def test_workload_by_hand(spark):
+    made = {}
+    for r in workload.generate(spark, 6, 400, first=47).unionByName(workload.generate(spark, 3, 400, first=79)).orderBy("seq").collect():
+        made.setdefault(int(r["key"].split("inst=")[1][:-1]), []).append((r["ts_ms"], r["value"]))
+    assert sorted(made) == [47, 48, 49, 50, 51, 52, 79, 80, 81]
+    jitters = 0
+    for i, rows in made.items():
+        ts, want = workload.START_MS, []
+        value = 0.75 if i >= 80 else 1000.0
+        for s in range(400):
+            jitter = math.floor(draw(2, i, s) * 3) - 1 if draw(1, i, s) < 1 / 200 else 0
+            jitters += jitter != 0
+            ts += workload.STEP_MS + jitter
+            if i < 50:
+                value = float(math.floor(draw(4, i, s) * 100)) if s == 0 or draw(3, i, s) >= 0.85 else value
+            elif i < 80:
+                value += 2
+            else:
+                u = draw(5, i, s)
+                value = max(0.0, round(value + (-0.01 if u < 1 / 3 else 0.0 if u < 2 / 3 else 0.01), 2))
+            want.append((ts, value))
+        assert rows == want
+    assert jitters
+
+
+def test_workload_compresses_as_published(spark):
+    made = workload.generate(spark, 100, 2048).withColumn("key", F.concat_ws("|", "kind", "key"))
+    encoded = codec.encode_chunks(chunks.assign_chunks(made.drop("kind"))).withColumn("kind", F.substring_index("key", "|", 1))
+    ratio = {r["kind"]: r["ratio"] for r in stats.compression_report(encoded).collect()}
+    assert all(ratio[k] == pytest.approx(v, rel=0.05) for k, v in {"flat": 28.55, "counter": 10.34, "wander": 3.48, None: 9.62}.items()), ratio
+
+
+def test_load_generator(spark, tmp_path):
+    from tidewake.sources import loadgen
+
+    done = loadgen.write_batches(spark, str(tmp_path / "s"), 7, 50, 3, 4)
+    assert (done["batches"], done["accepted"]) == (3, 350) and done["points_per_s"] > 0
+    rows = loadgen.queries(spark, str(tmp_path / "s"), 50, 4).collect()
+    assert [(r["agg"], r["scanned"]) for r in rows] == [("none", 50), ("avg", 50), ("avg", 50)] and rows[0]["scalar"] == 0.0 < rows[1]["scalar"]
 
 
 def test_storage_round_trip(spark, tmp_path):
@@ -172,13 +223,79 @@ def test_storage_round_trip(spark, tmp_path):
     assert [tuple(r) for r in tables.explode_series(nested).orderBy("seq").select("key", "ts_ms").collect()] == [("a", 1), ("a", 2), ("a", 3)]
 
 
+@pytest.mark.parametrize("span", [1, 3, 7, 1000])
+def test_detector_does_not_depend_on_spans(spark, span):
+    rng = random.Random(span)
+    rows = [(node, i, rng.random() < (0.5, 0.05, 0.95)[node]) for node in range(3) for i in range(200) if rng.random() < 0.9]
+    want = []
+    for node in range(3):
+        misses = 0
+        for _, i, ok in (r for r in rows if r[0] == node):
+            if ok and misses >= 2:
+                want.append((node, i, "recover"))
+            misses = 0 if ok else misses + 1
+            if misses == 2:
+                want.append((node, i, "evict"))
+    log = spark.createDataFrame(rows, "node long, seq long, ok boolean")
+    assert sorted(map(tuple, cluster.transitions(log, span).collect())) == sorted(want)
+
+
+def test_percentiles_put_nan_last(spark):
+    xs = [math.nan, 1.0, math.inf, -math.inf, -5.0, 0.0]
+    got = stats.percentiles(spark.createDataFrame([(x,) for x in xs], "x double"), "x", [0, 20, 50, 80, 100]).collect()
+    assert {r["p"]: str(r["value"]) for r in got} == {0.0: "-inf", 20.0: "-5.0", 50.0: "1.0", 80.0: "inf", 100.0: "nan"}
+
+
+def test_replicas_default(spark):
+    assert cluster.replication(spark) == 2
+    spark.conf.set("tidewake.replicas", "3")
+    assert cluster.replication(spark) == 3
+    spark.conf.set("tidewake.replicas", "")
+    assert cluster.replication(spark) == 2
+
+
+def test_health_of_live_nodes(spark):
+    copies = spark.createDataFrame([("n0", "a"), ("n0", "b"), ("n1", "a"), ("n1", "a")], "node string, key string")
+    assert [tuple(cluster.cluster_health(copies, live).first()) for live in (["n0", "n1", "n9"], ["n1"], [])] == [(3, 3, 4), (1, 1, 2), (0, 0, 0)]
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tidewake.sources import shared
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    path = shared.shared_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    shared.delete(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_chunks_are_sealed_across_micro_batches(spark, tmp_path):
+    from tidewake.streaming import stream
+
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for n in range(4):  # each far from a whole chunk of ten
+        made = spark.range(n * 6, n * 6 + 6).selectExpr("id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "id AS user_id", "'k' AS event_type", "1.0D AS value", "'' AS props")
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert spark.read.parquet(str(tmp_path / "in")).schema == spark.createDataFrame([], schema).schema
+    query = stream.ingest(stream.seal_chunks(stream.stream_events(spark, str(tmp_path / "in"), 1), 10), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 4
+    assert sorted((r["chunk_id"], r["n"], r["last_ts"] - r["first_ts"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 10, 9000), (1, 10, 9000)]
+
+
 def test_failure_detection_as_a_stream(spark, tmp_path):
-    from tidewake.plans.registry import probe_log
+    from tidewake.plans.registry import in_three_files, probe_log
     from tidewake.streaming import stream
 
     d = "/root/testdata/sf0.001"
-    probe_log(spark, d).coalesce(1).write.parquet(str(tmp_path / "in"))
-    log = spark.readStream.schema("node long, seq long, ok boolean").parquet(str(tmp_path / "in"))
-    stream.ingest(stream.detect_failures(log), str(tmp_path / "out"), str(tmp_path / "state"))
+    in_three_files(probe_log(spark, d), str(tmp_path / "in"), "seq")
+    log = spark.readStream.schema("node long, seq long, ok boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = stream.ingest(stream.detect_failures(log), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("node", "seq", "event").collect()))
     assert got == sorted(map(tuple, cluster.transitions(probe_log(spark, d)).collect())) and got

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +36,18 @@ def ring_positions(strings: list[str]) -> np.ndarray:
     return mix64(fnv1a(strings))
 
 
-@F.pandas_udf(T.DecimalType(20, 0))
-def ring_hash(keys: pd.Series) -> pd.Series:
+@F.pandas_udf(T.LongType())
+def signed_position(keys: pd.Series) -> pd.Series:
+    """The bits of a ring position as a signed integer."""
     own = keys[keys.notna()]
-    return pd.Series([Decimal(int(x)) for x in ring_positions(own.tolist())], index=own.index, dtype=object).reindex(keys.index)
+    return pd.Series(ring_positions(own.tolist()).view(np.int64), index=own.index, dtype="Int64").reindex(keys.index)
+
+
+def ring_hash(keys: Column | str) -> Column:
+    """The ring position as DECIMAL(20,0); Spark makes it unsigned."""
+    signed = signed_position(keys)
+    wide = signed.cast("decimal(20,0)")
+    return F.when(signed < 0, wide + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
 
 
 @F.pandas_udf(T.LongType())

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.functions.hashing import ring_hash, ring_positions
+from tidewake.functions.hashing import ring_positions
 
 VNODES = 256
 
@@ -60,9 +60,9 @@ class Ring:
         return out
 
 
-def ring_table(spark: SparkSession, ring: Ring) -> DataFrame:
-    """pos DECIMAL(20,0), node."""
-    return spark.createDataFrame([(n, i) for n in ring.nodes for i in range(ring.vnodes)], "node string, i int").select(ring_hash(F.concat_ws("#", "node", F.col("i").cast("string"))).alias("pos"), "node")
+def ring_counts(spark: SparkSession, ring: Ring) -> DataFrame:
+    """H8: nodes, vnodes: how many nodes and positions the ring has; positions that collide are one."""
+    return spark.range(1).select(F.lit(len(ring.nodes)).cast("long").alias("nodes"), F.lit(len(ring.pos)).cast("long").alias("vnodes"))
 
 
 def with_owner(keys: DataFrame, ring: Ring, name: str = "node", key: str = "key") -> DataFrame:
@@ -97,10 +97,14 @@ def remap(keys: DataFrame, before: Ring, after: Ring) -> DataFrame:
 
 
 def scaling_model(keys: DataFrame, sizes: range, rate: float = 1.6e6, overhead: float = 0.03, vnodes: int = VNODES) -> DataFrame:
-    """Nodes, max_share, efficiency, points_per_s, and the scale factor to the smallest size against linear."""
+    """Nodes, max_share, efficiency, points_per_s; factor, by which it grew from the smallest size; against_linear,
+    the factor as a part of what the number of nodes grew by."""
     out = None
     for n in sizes:
         share = load_share(with_owner(keys, Ring([f"n{i}" for i in range(n)], vnodes))).agg(F.max("share").alias("max_share"))
         row = share.select(F.lit(n).cast("long").alias("nodes"), "max_share", ((1 / F.lit(float(n))) / F.col("max_share") * (1 - overhead)).alias("efficiency"))
         out = row if out is None else out.unionByName(row)
-    return out.withColumn("points_per_s", F.col("nodes") * rate * F.col("efficiency"))
+    made = out.withColumn("points_per_s", F.col("nodes") * rate * F.col("efficiency"))
+    first = made.filter(F.col("nodes") == min(sizes)).select(F.col("points_per_s").alias("base"))  # one row
+    factor = F.col("points_per_s") / F.col("base")
+    return made.crossJoin(F.broadcast(first)).select(*made.columns, factor.alias("factor"), (factor / (F.col("nodes") / min(sizes))).alias("against_linear"))

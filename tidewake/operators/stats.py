@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.operators.codec import decode_chunks, encode_chunks
+from tidewake.operators import codec
 
 
 def percentiles(df: DataFrame, x: str, points: list[float]) -> DataFrame:
     """P, value: the sorted element at the 0-based place min(n - 1, floor(p / 100 * n)).
 
     Equal values are counted first, then a running count over distinct values finds the places; no list is gathered.
-    The running count is made per range of values, so that no task sorts them all."""
+    The running count is made per range of values, so that no task sorts them all. NaN sorts after all numbers."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("n"))
     # Ranges by the exponent and top bits of the double; their totals are a small table.
-    part = F.floor(F.signum("x") * F.log2(F.abs("x") + 1) * 16)
+    part = F.when(F.isnan("x"), F.lit((1 << 62))).when(F.abs("x") == float("inf"), F.signum("x") * (1 << 30)).otherwise(F.floor(F.signum("x") * F.log2(F.abs("x") + 1) * 16)).cast("long")
     counts = counts.withColumn("part", part)
     parts = counts.groupBy("part").agg(F.sum("n").alias("pn"))
     before = F.coalesce(F.sum("pn").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -38,12 +38,5 @@ def compression_report(chunks: DataFrame, kind: str = "kind") -> DataFrame:
 
 
 def roundtrip_mismatches(chunked: DataFrame) -> DataFrame:
-    """Per key, samples whose timestamp or value bits differ after encoding and decoding, or that are missing."""
-    from tidewake.functions.hashing import double_bits
-
-    back = decode_chunks(encode_chunks(chunked)).select("key", "chunk_id", "place", F.col("ts_ms").alias("ts_2"), double_bits("value").alias("bits_2"))
-    place = F.row_number().over(Window.partitionBy("key", "chunk_id").orderBy("seq")) - 1
-    there = chunked.select("key", "chunk_id", place.cast("long").alias("place"), "ts_ms", double_bits("value").alias("bits"))
-    both = there.join(back, ["key", "chunk_id", "place"], "full")
-    same = F.col("ts_ms").eqNullSafe(F.col("ts_2")) & F.col("bits").eqNullSafe(F.col("bits_2"))
-    return both.groupBy("key").agg(F.count(F.when(~same, 1)).alias("mismatches"))
+    """Per key, samples that differ after encoding and decoding; both happen where the chunk is."""
+    return codec.mismatches(chunked).groupBy("key").agg(F.sum("mismatches").alias("mismatches"))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions.hashing import ring_hash
 from tidewake.functions.text import parse_nodes
 from tidewake.operators import chunks, cluster, codec, ranges, ring, stats
-from tidewake.sources import tables, workload
+from tidewake.sources import loadgen, tables, workload
+from tidewake.sources.shared import shared_path
 from tidewake.streaming import stream
 
 START, END = 1704412800000, 1704844800000
@@ -87,11 +85,27 @@ def value_xor_zero(spark, d):
     return chunks.xor_values(chunked(spark, d)).groupBy("key").agg(F.count(F.when(F.col("x") == 0, 1)).alias("same"))
 
 
+def xor_windows(spark, d):
+    x = chunks.xor_values(chunked(spark, d)).filter("lead IS NOT NULL")
+    return x.groupBy("key", "chunk_id").agg(F.count(F.lit(1)).alias("changed"), *[f(c).cast("long").alias(f"{n}_{c}") for c in ("lead", "trail") for n, f in (("sum", F.sum), ("min", F.min), ("max", F.max))])
+
+
 def compression_report(spark, d):
-    made = workload.generate(spark, 100, 1500).withColumn("key", F.concat_ws("|", "kind", "key"))
-    encoded = codec.encode_chunks(chunks.assign_chunks(made.drop("kind"))).withColumn("kind", F.substring_index("key", "|", 1))
-    r = stats.compression_report(encoded)
-    return r.select("kind", "points", "raw", "bytes", F.round("ratio", 4).alias("ratio"), F.round("bytes_per_point", 4).alias("bytes_per_point"))
+    r = stats.compression_report(codec.encode_chunks(chunked(spark, d)), "key")
+    return r.select("key", "points", "raw", "bytes", F.round("ratio", 6).alias("ratio"), F.round("bytes_per_point", 6).alias("bytes_per_point"))
+
+
+def load_generator(spark, d):
+    """40 series of 300 samples written in batches of 15, then the three queries over one step more, so that jitter moves no sample out."""
+    path = shared_path(spark, "load")
+    done = loadgen.write_batches(spark, path, 40, 300, 15, 8)
+    return loadgen.queries(spark, path, 301, 8).select("agg", "key", "scanned").unionByName(spark.createDataFrame([("write", "*", done["accepted"])], "agg string, key string, scanned long"))
+
+
+def workload_counters(spark, d):
+    """Count and sum of values of each counter among 200 series of 100 samples, jitter and other draws aside."""
+    made = workload.generate(spark, 200, 100)
+    return made.filter("kind = 'counter'").groupBy("key").agg(F.count(F.lit(1)).alias("samples"), F.sum("value").alias("total"), F.round(F.avg(F.abs(F.col("ts_ms") - workload.START_MS - workload.STEP_MS * (F.col("seq") + 1))), -1).alias("drift"))
 
 
 def codec_chunks(spark, d):
@@ -112,13 +126,17 @@ def remapped(change):
 
 def scaling_model(spark, d):
     m = ring.scaling_model(user_keys(spark, d), range(3, 9), vnodes=64)
-    return m.select("nodes", *[F.round(c, 4).alias(c) for c in ("max_share", "efficiency")], F.round("points_per_s", 0).alias("points_per_s"))
+    return m.select("nodes", *[F.round(c, 4).alias(c) for c in ("max_share", "efficiency", "factor", "against_linear")], F.round("points_per_s", 0).alias("points_per_s"))
 
 
 def probe_log(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 8).alias("node"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
 
 
+def live_health(spark, d):
+    return cluster.cluster_health(cluster.fan_out(events(spark, d), NODES3, cluster.replication(spark)), ["n0", "n2"])
+
+
 def cluster_health(spark, d):
     t = cluster.cluster_totals(cluster.fan_out(events(spark, d), NODES3, 2))
     return t.select("node", "series", "samples").unionByName(t.agg(F.lit("*").alias("node"), F.sum("series").alias("series"), F.sum("samples").alias("samples")))
@@ -138,18 +156,19 @@ def counter_series(spark, d):
     return grid.select(workload.series_key(i).alias("key"), "seq", (F.lit(workload.START_MS) + workload.STEP_MS * (s + 1)).cast("long").alias("ts_ms"), workload.counter_value(s).alias("value"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder all executors see: under spark.checkpoint.dir, or of this machine where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewake-")
-    return f"{base}/tidewake/{name}-{uuid.uuid4().hex}"
+def in_three_files(df: DataFrame, path: str, seq: str) -> None:
+    """Thirds by seq, one file after the other, so that a stream reads them in this order, a micro-batch each."""
+    low, high = df.agg(F.min(seq), F.max(seq)).first()
+    step = ((high or 0) - (low or 0)) // 3 + 1
+    for n in range(3):
+        df.filter((F.col(seq) >= (low or 0) + n * step) & (F.col(seq) < (low or 0) + (n + 1) * step)).coalesce(1).write.mode("append").parquet(path)
 
 
 def streamed(spark: SparkSession, d: str, make, name: str) -> DataFrame:
-    """The whole output of a stream over the events, written as files and read back."""
-    base = scratch(spark, name)
-    # A file source watches a folder; the events table may be one file.
-    spark.read.parquet(f"{d}/events.parquet").write.parquet(f"{base}/in")
-    out = make(stream.stream_events(spark, f"{base}/in"))
+    """The whole output of a stream over the events in three micro-batches, written as files and read back."""
+    base = shared_path(spark, name)
+    in_three_files(spark.read.parquet(f"{d}/events.parquet"), f"{base}/in", "event_id")
+    out = make(stream.stream_events(spark, f"{base}/in", 1))
     schema = out.schema
     stream.ingest(out, f"{base}/out", f"{base}/state")
     return spark.read.schema(schema).parquet(f"{base}/out")
@@ -160,32 +179,34 @@ def stream_chunk_seal(spark, d):
 
 
 def stream_health_transitions(spark, d):
-    base = scratch(spark, "probes")
-    probe_log(spark, d).write.parquet(f"{base}/in")
-    log = spark.readStream.schema("node long, seq long, ok boolean").parquet(f"{base}/in")
+    base = shared_path(spark, "probes")
+    in_three_files(probe_log(spark, d), f"{base}/in", "seq")
+    log = spark.readStream.schema("node long, seq long, ok boolean").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     stream.ingest(stream.detect_failures(log), f"{base}/out", f"{base}/state")
     return spark.read.schema("node long, seq long, event string").parquet(f"{base}/out")
 
 
 def stored_range(spark, d):
     """Samples written to the stored layout, then one range of one key read from it."""
-    path = scratch(spark, "samples")
+    path = shared_path(spark, "samples")
     tables.write_samples(events(spark, d), path)
     return tables.read_samples(spark, path, "click", START, END).select("seq", "ts_ms", "value")
 
 
 def replicated_write(spark, d):
-    path = scratch(spark, "replicas")
+    path = shared_path(spark, "replicas")
     tables.write_replicated(events(spark, d), path, NODES3, 2)
     return spark.read.parquet(path).groupBy(F.col("node").cast("string").alias("node"), "key").agg(F.count(F.lit(1)).alias("samples"))
 
 
 def nested_write(spark, d):
-    """Batches of up to 1,000 events as nested series, flattened again; accepted is the number of samples of each key."""
+    """Batches of up to 1,000 events as nested series, flattened and stored; accepted is the number of samples of each key."""
     batch = F.floor(F.col("seq") / 1000).alias("batch")
     lists = events(spark, d).groupBy("key", batch).agg(F.sort_array(F.collect_list(F.struct("seq", "ts_ms", "value"))).alias("s"))
     nested = lists.select("key", "batch", F.transform("s", lambda x: F.struct(x["ts_ms"].alias("ts_ms"), x["value"].alias("value"))).alias("samples"))
-    flat = tables.explode_series(nested)
+    path = shared_path(spark, "nested")
+    tables.write_samples(tables.explode_series(nested), path, 8)
+    flat = tables.read_samples(spark, path)
     return flat.groupBy("key").agg(F.count(F.lit(1)).alias("accepted"), F.min_by("ts_ms", "seq").alias("first_ts"), F.max_by("ts_ms", "seq").alias("last_ts"))
 
 
@@ -216,6 +237,7 @@ QUERIES = {
     "dod_bucket_hist": dod_bucket_hist,
     "ts_stream_bits": lambda s, d: chunks.timestamp_bits(chunked(s, d)),
     "value_xor_zero": value_xor_zero,
+    "xor_windows": xor_windows,
     "codec_roundtrip_mismatch": lambda s, d: stats.roundtrip_mismatches(chunked(s, d)),
     "codec_chunks": codec_chunks,
     "codec_decode_range": codec_decode_range,
@@ -229,6 +251,8 @@ QUERIES = {
     "scaling_model": scaling_model,
     "replica_fanout": lambda s, d: cluster.fan_out(events(s, d), NODES3, 2).groupBy("node", "copy").agg(F.count(F.lit(1)).alias("samples")),
     "cluster_health": cluster_health,
+    "live_health": live_health,
+    "ring_counts": lambda s, d: ring.ring_counts(s, ring.Ring(NODES8)),
     "failover_read": lambda s, d: cluster.failover(user_keys(s, d), NODES3, 2, ["n1", "n2"]),
     "health_transitions": lambda s, d: cluster.transitions(probe_log(s, d)),
     "latency_percentiles": latency_percentiles,
@@ -236,6 +260,8 @@ QUERIES = {
     "series_key_gen": lambda s, d: series_index(s).select("i", workload.series_key(F.col("i")).alias("key")),
     "metric_kind": lambda s, d: series_index(s).select("i", workload.metric_kind(F.col("i")).alias("kind")),
     "counter_series": counter_series,
+    "load_generator": load_generator,
+    "workload_counters": workload_counters,
     "node_spec_parse": lambda s, d: parse_nodes(s.createDataFrame([(SPEC,)], "spec string")),
     "stream_chunk_seal": stream_chunk_seal,
     "stream_ingest": stream_ingest,
@@ -254,6 +280,20 @@ CHO = OD + ", ch AS (SELECT *, ((row_number() OVER (PARTITION BY key ORDER BY se
 META = "meta AS (SELECT key, chunk_id, count(*) AS n, arg_min(ts_ms, seq) AS first_ts, arg_max(ts_ms, seq) AS last_ts, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts FROM ch GROUP BY ALL)"
 DL = CH + ", dl AS (SELECT *, ts_ms - lag(ts_ms) OVER w AS delta FROM ch WINDOW w AS (PARTITION BY key, chunk_id ORDER BY seq)), dd AS (SELECT *, delta - coalesce(lag(delta) OVER (PARTITION BY key, chunk_id ORDER BY seq), 0) AS dod FROM dl)"
 BITS = "CASE WHEN dod IS NULL THEN 64 WHEN dod = 0 THEN 1 WHEN dod BETWEEN -63 AND 64 THEN 9 WHEN dod BETWEEN -255 AND 256 THEN 12 WHEN dod BETWEEN -2047 AND 2048 THEN 16 ELSE 68 END"
+# The change of the bit pattern in a chunk as 64 characters, with its leading (31 at most) and trailing zeros.
+XOR = (
+    CH + ", xb AS (SELECT key, chunk_id, seq, xor(value::BIT, lag(value::BIT) OVER (PARTITION BY key, chunk_id ORDER BY seq))::VARCHAR AS x FROM ch), "
+    "xw AS (SELECT *, least(strpos(x, '1') - 1, 31) AS l, strpos(reverse(x), '1') - 1 AS t FROM xb)"
+)
+# A chunk's bytes: bits of both streams by the rules of the format; the window of the last change is carried along.
+BYTES = (
+    DL.replace("WITH ", "").replace(CH, XOR) + f", tb AS (SELECT key, chunk_id, sum({BITS}) AS b FROM dd GROUP BY ALL), "
+    "vl AS (SELECT key, chunk_id, count(*) FILTER (strpos(x, '1') = 0) AS same, "
+    "list_prepend({'l': -1, 't': -1, 'b': 0}, coalesce(list({'l': l::BIGINT, 't': t::BIGINT, 'b': 0::BIGINT} ORDER BY seq) FILTER (strpos(x, '1') > 0), [])) AS w FROM xw GROUP BY ALL), "
+    "vb AS (SELECT key, chunk_id, 64 + same + list_reduce(w, lambda s, x: CASE WHEN s['l'] >= 0 AND x['l'] >= s['l'] AND x['t'] >= s['t'] "
+    "THEN {'l': s['l'], 't': s['t'], 'b': s['b'] + 66 - s['l'] - s['t']} ELSE {'l': x['l'], 't': x['t'], 'b': s['b'] + 77 - x['l'] - x['t']} END)['b'] AS b FROM vl), "
+    f"{META}, cb AS (SELECT meta.*, (8 + ceil(tb.b / 8.0) + ceil(vb.b / 8.0))::BIGINT AS bytes FROM meta JOIN tb USING (key, chunk_id) JOIN vb USING (key, chunk_id))"
+)
 KEYS = "kk AS (SELECT DISTINCT 'series-' || user_id AS key FROM events)"
 TWO64 = "18446744073709551616::UHUGEINT"
 
@@ -297,7 +337,7 @@ def remap_sql(after: list[str], changed: str) -> str:
 def scaling_sql() -> str:
     parts = [f"{ring_sql(f'r{n}', [f'n{i}' for i in range(n)], 64)}, {owner_sql(f'o{n}', f'r{n}')}, s{n} AS (SELECT {n}::BIGINT AS nodes, max(c) / sum(c) AS m FROM (SELECT count(*) AS c FROM o{n} GROUP BY node))" for n in range(3, 9)]
     union = " UNION ALL ".join(f"SELECT * FROM s{n}" for n in range(3, 9))
-    return f"WITH {K}, {', '.join(parts)} SELECT nodes, round(m, 4) AS max_share, round(1.0::DOUBLE / nodes / m * 0.97, 4) AS efficiency, round(nodes * 1600000.0::DOUBLE * (1.0::DOUBLE / nodes / m * 0.97), 0) AS points_per_s FROM ({union})"
+    return f"WITH {K}, {', '.join(parts)} SELECT nodes, round(m, 4) AS max_share, round(1.0::DOUBLE / nodes / m * 0.97, 4) AS efficiency, round(nodes * 1600000.0::DOUBLE * (1.0::DOUBLE / nodes / m * 0.97), 0) AS points_per_s, round(m3 / m, 4) AS factor, round(m3 / m / (nodes / 3.0::DOUBLE), 4) AS against_linear FROM ({union}), (SELECT m AS m3 FROM s3)"
 
 
 def prune_sql(low: str, high: str) -> str:
@@ -331,6 +371,13 @@ ORACLE_SQL = {
     "dod_bucket_hist": f"WITH {DL} SELECT ({BITS})::BIGINT AS bits, count(*) AS n FROM dd GROUP BY 1",
     "ts_stream_bits": f"WITH {DL} SELECT key, chunk_id, sum({BITS})::BIGINT AS ts_bits FROM dd GROUP BY ALL",
     "value_xor_zero": f"WITH {CH}, x AS (SELECT key, value = lag(value) OVER (PARTITION BY key, chunk_id ORDER BY seq) AS same FROM ch) SELECT key, count(*) FILTER (same) AS same FROM x GROUP BY key",
+    "xor_windows": f"WITH {XOR} SELECT key, chunk_id, count(*) AS changed, sum(l)::BIGINT AS sum_lead, min(l)::BIGINT AS min_lead, max(l)::BIGINT AS max_lead, sum(t)::BIGINT AS sum_trail, min(t)::BIGINT AS min_trail, max(t)::BIGINT AS max_trail FROM xw WHERE strpos(x, '1') > 0 GROUP BY ALL",
+    "codec_chunks": f"WITH {BYTES} SELECT key, chunk_id, n, first_ts, last_ts, bytes FROM cb",
+    "compression_report": f"WITH {BYTES} SELECT key, sum(n)::BIGINT AS points, (sum(n) * 16)::BIGINT AS raw, sum(bytes)::BIGINT AS bytes, round((sum(n) * 16)::DOUBLE / sum(bytes)::DOUBLE, 6) AS ratio, round(sum(bytes)::DOUBLE / sum(n)::DOUBLE, 6) AS bytes_per_point FROM cb GROUP BY ROLLUP (key)",
+    "live_health": f"WITH {EK} SELECT 2::BIGINT AS live, sum(series)::BIGINT AS series, sum(samples)::BIGINT AS samples FROM (SELECT reps[i + 1] AS node, count(DISTINCT key) AS series, count(*) AS samples FROM ev JOIN rs USING (key), range(2) t(i) GROUP BY 1) WHERE node IN ('n0', 'n2')",
+    "ring_counts": f"WITH {ring_sql('r', NODES8)} SELECT count(DISTINCT node) AS nodes, count(DISTINCT h) AS vnodes FROM r",
+    "load_generator": "SELECT 'write' AS agg, '*' AS key, 12000::BIGINT AS scanned UNION ALL SELECT * FROM (VALUES ('none', 'cpu.usage{host=h0,inst=0}', 300), ('avg', 'mem.used{host=h0,inst=1}', 300), ('avg', 'net.rx{host=h0,inst=2}', 300))",
+    "workload_counters": "SELECT ['cpu.usage', 'mem.used', 'net.rx', 'disk.io', 'http.reqs'][i % 5 + 1] || '{host=h' || (i // 5) % 256 || ',inst=' || i || '}' AS key, 100::BIGINT AS samples, sum(1000 + 2 * (s + 1))::DOUBLE AS total, 0.0::DOUBLE AS drift FROM range(200) t(i), range(100) u(s) WHERE i % 100 >= 50 AND i % 100 < 80 GROUP BY i",
     "codec_roundtrip_mismatch": f"WITH {EV} SELECT DISTINCT key, 0::BIGINT AS mismatches FROM ev",
     "codec_decode_range": f"WITH {EV} SELECT ts_ms, value FROM ev WHERE {CLICK}",
     "ring_hash_keys": f"WITH {K} SELECT key, h::VARCHAR AS pos FROM k",

@@ -1,4 +1,4 @@
-"""S5, S6, F-1 to F-6: synthetic monitoring series.
+"""S5, F-1 to F-6: synthetic monitoring series.
 
 Drawn per (seed, series, step) from a hash instead of one shared random sequence, so any part can be made on any
 executor: the shares and shapes are those of the described workload, the draws are not.
@@ -43,10 +43,10 @@ def _wander(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(value=out)[["key", "kind", "seq", "ts_ms", "value"]]
 
 
-def generate(spark: SparkSession, series: int, samples: int, seed: int = SEED) -> DataFrame:
-    """key, kind, seq, ts_ms, value of series x samples points."""
+def generate(spark: SparkSession, series: int, samples: int, seed: int = SEED, first: int = 0) -> DataFrame:
+    """key, kind, seq, ts_ms, value of series x samples points, of the series from number first on."""
     i, s = F.col("i"), F.col("seq")
-    grid = spark.range(series).withColumnRenamed("id", "i").select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("seq"))
+    grid = spark.range(first, first + series).withColumnRenamed("id", "i").select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("seq"))
     own = Window.partitionBy("i").orderBy("seq")
     jitter = F.when(draw(seed, 1, i, s) < 1 / 200, F.floor(draw(seed, 2, i, s) * 3) - 1).otherwise(0)
     base = grid.select("i", "seq", series_key(i).alias("key"), metric_kind(i).alias("kind"), (F.lit(START_MS) + F.sum(F.lit(STEP_MS) + jitter).over(own)).cast("long").alias("ts_ms"))

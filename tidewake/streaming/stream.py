@@ -1,13 +1,15 @@
 """Structured Streaming: ingest, sealing of chunks, failure detection.
 
 State is per key: the open samples of a series (fewer than a chunk), or the misses of a node. Rows of a key within a
-micro-batch are put in order of seq; across batches the source's order counts.
+micro-batch are put in order of seq, as columns of numbers; across batches the source's order counts. Micro-batches are
+bounded by the files a trigger takes, so what a task holds does not grow with the stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +19,14 @@ from tidewake.operators.chunks import CHUNK
 from tidewake.sources.tables import millis
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Files of a micro-batch.
+FILES_PER_TRIGGER = 64
 META = "key string, chunk_id long, n long, first_ts long, last_ts long, min_ts long, max_ts long"
 
 
-def stream_events(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+def stream_events(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Samples of event files as they arrive."""
-    reader = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder).select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), millis("ts").alias("ts_ms"), "value")
 
 
@@ -35,6 +37,14 @@ def ingest(samples: DataFrame, path: str, checkpoint: str):
     return query
 
 
+def ordered(rows: Iterator[pd.DataFrame], *names: str) -> tuple[np.ndarray, ...]:
+    """Columns of the rows of a key in order of seq; nothing else of the batches is held."""
+    parts = [[f[c].to_numpy() for c in ("seq", *names)] for f in rows]
+    seq, *columns = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(seq, kind="stable")
+    return tuple(c[order] for c in columns)
+
+
 class Seal(StatefulProcessor):
     """Keeps the open samples of a key; emits the metadata of a chunk when it is full."""
 
@@ -46,7 +56,7 @@ class Seal(StatefulProcessor):
         self.sealed = handle.getValueState("sealed", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("seq")["ts_ms"].tolist()
+        new = ordered(rows, "ts_ms")[0].tolist()
         ts = [r[0] for r in self.open.get()] + new if self.open.exists() else new
         done = self.sealed.get()[0] if self.sealed.exists() else 0
         out = []
@@ -71,7 +81,7 @@ class Detect(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         misses, live = self.state.get() if self.state.exists() else (0, True)
         out = []
-        for seq, ok in pd.concat(list(rows)).sort_values("seq")[["seq", "ok"]].itertuples(index=False):
+        for seq, ok in zip(*(c.tolist() for c in ordered(rows, "seq", "ok"))):
             misses = 0 if ok else misses + 1
             if ok and not live:
                 live = True
