@@ -14,20 +14,21 @@ def select_range(samples: DataFrame, key: str, start: int, end: int) -> DataFram
 
 
 def lowest(v: Column) -> Column:
-    """A3: NaN never wins; all NaN gives +inf; no rows give 0.0."""
-    return F.when(F.count(v) == 0, 0.0).otherwise(F.coalesce(F.min(F.when(~F.isnan(v), v)), F.lit(float("inf"))))
+    """A3: NaN never wins, as it sorts after all numbers; all NaN gives +inf; no rows give 0.0."""
+    least = F.min(v)
+    return F.when(F.count(v) == 0, 0.0).when(F.isnan(least), float("inf")).otherwise(least)
 
 
 def highest(v: Column) -> Column:
-    """A4: as lowest, with -inf."""
-    return F.when(F.count(v) == 0, 0.0).otherwise(F.coalesce(F.max(F.when(~F.isnan(v), v)), F.lit(float("-inf"))))
+    """A4: as lowest, with -inf; of the values' negatives, so that NaN sorts last here too."""
+    return -F.when(F.count(v) == 0, 0.0).when(F.isnan(F.min(-v)), float("inf")).otherwise(F.min(-v))
 
 
 def aggregates(value: str = "value") -> dict[str, Column]:
-    """All of them are one partial and one final hash aggregate."""
+    """One partial and one final hash aggregate, whose buffer holds a sum, a count and two minima."""
     v = F.col(value)
     zero = F.lit(0.0)
-    return {"sum": F.coalesce(F.sum(v), zero), "avg": F.coalesce(F.avg(v), zero), "min": lowest(v), "max": highest(v), "count": F.count(v).cast("double")}
+    return {"sum": F.coalesce(F.sum(v), zero), "avg": F.when(F.count(v) > 0, F.sum(v) / F.count(v)).otherwise(zero), "min": lowest(v), "max": highest(v) + zero, "count": F.count(v).cast("double")}
 
 
 def range_raw(samples: DataFrame, key: str, start: int, end: int, ordered: bool = False) -> DataFrame:
