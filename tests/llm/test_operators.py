@@ -46,6 +46,14 @@ def test_look_up_of_hot_keys(spark, monkeypatch):
     assert common.look_up(left.filter("1 = 0"), right, "k").count() == 0
 
 
+def test_cut_tables_can_be_deleted(spark):
+    df = common.cut(spark.range(5), "x")
+    assert df.count() == 5
+    common.delete_cut(df)
+    with pytest.raises(Exception, match="FileNotFound|does not exist|FILE_NOT_EXIST"):
+        df.collect()
+
+
 def test_sharding(spark, edges):
     rows = QUERIES["op1_sharding"](spark, SF).collect()
     by = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(8)}

@@ -2,40 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewake.sources.shared import delete, shared_path
+
 #: Text handed to a Python function at once, so that a worker's memory does not depend on the length of the rows.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a folder of this machine where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="tidewake-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewake/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: later failures restart from the files, not from the sources."""
+    """Write df to the shared folder and read it again: later failures restart from the files, not from the sources.
+    The files go with the session, or with delete_cut()."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_cut(df: DataFrame) -> None:
+    """Delete the files of a table from cut() that nothing reads any more."""
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        delete(df.sparkSession, folder)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm.bpe import CHUNK
-from tidewake.llm.common import cut, look_up, map_texts, shared_path, text_or_empty
+from tidewake.llm.common import cut, look_up, map_texts, text_or_empty
+from tidewake.sources.shared import shared_path
 
 CACHE = "version string, digest binary, n_tokens long"
 LIMIT = 1024
