@@ -2,12 +2,18 @@
 
 A candidate is a run of at least 12 token characters that holds a digit, or of at least 16 that holds upper case inside,
 or the whole value, of any length and characters, that is assigned to a name such as password (up to its closing quote,
-or unquoted to the next blank without a final full stop, comma or semicolon), or the password in a URL. The forest (numpy, decision trees on bootstrap samples with random
-feature subsets) sees its length, character transitions, dictionary coverage, the words and the path around it. It is
-trained from labelled findings: the caller's, or the seeded set that labelled_findings() makes by rule.
-
-Defined results: null and empty texts have no findings; equal texts have equal findings; long texts are scanned whole;
-an empty table gives an empty result; candidates may lie in each other, and secrets that overlap are one.
+or unquoted to the next blank without a final full stop, comma or semicolon), or the password in a URL.
+
+The forest (numpy, decision trees on bootstrap samples with random feature subsets) sees a candidate's length, the
+likelihood of its character transitions, its dictionary coverage, the words before, after and inside it, its first
+characters, and the path. Dictionary and transitions come from the words of the documents themselves, counted over all of
+them (the ``DICTIONARY`` most frequent are kept); what words, beginnings and paths say is learned, as log odds, from
+the labelled findings: the caller's, or the seeded set that labelled_findings() makes by rule of the same dictionary.
+
+Defined results: null and empty texts have no findings; equal texts have equal findings (with paths, equal texts and
+paths); long texts and candidates are scanned whole; an empty table gives an empty result; candidates may lie in each
+other, and secrets that overlap are one; other input columns, whatever their names, are ignored by scan() and kept by
+remove_secrets().
 """
 
 from __future__ import annotations
@@ -18,11 +24,13 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewake.llm.common import map_texts, text_or_empty
 
@@ -34,17 +42,19 @@ NAME_BEFORE = re.compile(SECRET_NAME + r"\Z")
 QUOTED = re.compile(r"""[:=]{1,2}>?\s{0,3}(?:"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)')""")
 UNQUOTED = re.compile(r"""[:=]{1,2}>?\s{0,3}["']?([^\s"'=:]\S*)""")
 SEPARATOR = re.compile(r"[:=]{1,2}")
-URL_PASSWORD = re.compile(r"://[^\s/?#:@]*:([^\s/?#]+)@")
+URL_PASSWORD = re.compile(r"://[^\s/?#:@]*:([^\s/?]+)@")
 URL_USER = re.compile(r"://[^\s/?#:@]*:\Z")
-NAME = re.compile(r"(?i)(pass|pwd|secret|token|key|auth|cred|bearer|akia|login)")
-HARMLESS = re.compile(r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|test|commit|sha|md5|checksum|digest|uuid|build|version|hash|etag|revision|isbn|order|invoice)")
 PLACE = re.compile(r"https?:|www\.|[/\\@]\Z|\.\w{2,4}/")
 #: Variables, calls and placeholders instead of a value.
 CODE = re.compile(r"^[$<{%]|[\w.]\(|^(?:\w+\.)+\w+$|^[*x.]+$|^(?i:none|null|nil|true|false|undefined|password|secret|token)$")
-PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk_|pk_|xox[abp]-|AIza|eyJ|glpat-|npm_|SG\.")
-#: Syllables common in prose; how much of a run they cover tells words from random characters.
-SYLLABLES = re.compile("tion|ment|heit|keit|sch|eau|que|ing|the|and|ver|ung|ein|lich|ando|cion|able|ence|ist|est|ent|ant|con|pro|per|ter|ion|ere|ate|ous|der|die|und|les|des|del|los|las|por|para|er|en|on|an|in|re|es|or|ed|te|ti|st|ar|nd|at|is|it|ha|al|ou|le|ai|ie|de|la|el|ra|co|do|ta|ja|se|as|os|un|ch|be|ge|zu|he|sh|th|ly|no|me|ne|si|so|to|na|ma|li|lo|ro|ri|mi|di|pa|po|vi|vo|us|ul|ur|um|ut|ir|il|ic|id|ig|im", re.I)
-FEATURES = 18
+WORD = re.compile(r"[A-Za-z]{2,}")
+#: Words of the dictionary, the lengths they may have, and characters of context before and after a candidate.
+DICTIONARY, LENGTHS, BEFORE, AFTER = 20_000, (3, 12), 80, 40
+#: Without documents: parts of words that many European languages share.
+COMMON = (
+    "tion the er an ing re es ou le que ment eau sch ver heit ung ein co ci ra do as ie en th nd st ha or ll rr pf tz wh sh ai aux oi pa "
+    "and for with from der die und les des del los por para con una est was are that this have not you all can"
+).split()
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -81,26 +91,88 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted((s for s in out if s[0] < s[1]), key=lambda s: (s[0], -s[1]))
 
 
-def vector(text: str, a: int, b: int) -> list[float]:
-    """Features of a candidate: length, character classes and transitions, dictionary coverage, neighbours, path."""
-    run, before, after = text[a:b], text[max(0, a - 40) : a], text[b : b + 24]
+def letters(text: str) -> np.ndarray:
+    """0 to 25 for letters of either case, 26 for digits, 27 for letters beyond ASCII, 28 for all else."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    out = np.where((codes >= 97) & (codes <= 122), codes - 97, 28)
+    out[(codes >= 48) & (codes <= 57)] = 26
+    out[codes > 127] = 27
+    return out
+
+
+def tokens(text: str, a: int, b: int, path: str) -> dict[str, list[str]]:
+    """Words around and inside a candidate, its first characters, and the words of the path."""
+    low = lambda part: [w.lower() for w in WORD.findall(part)]
+    before = low(text[max(0, a - BEFORE) : a])
+    return {
+        "last": before[-1:], "near": [*before[-3:-1], *[">" + w for w in low(text[b : b + AFTER])[:1]]],
+        "start": [text[a : min(b, a + k)] for k in (2, 3, 4)], "inner": low(text[a:b]), "path": low(path),
+    }
+
+
+class Lexicon:
+    """Of the words around candidates, log odds between secrets and the rest."""
+
+    def __init__(self, rows: list[tuple[str, int, int, int, str]], least: int = 30):
+        seen: dict[str, list[Counter]] = {}
+        n = Counter(r[3] for r in rows)
+        for text, a, b, label, path in rows:
+            for kind, own in tokens(text, a, b, path).items():
+                seen.setdefault(kind, [Counter(), Counter()])[label].update(set(own))
+        odds = lambda p, q: math.log((p + 1) / (n[1] + 2)) - math.log((q + 1) / (n[0] + 2))
+        self.odds = {kind: {w: odds(c[1][w], c[0][w]) for w in c[0] | c[1] if c[0][w] + c[1][w] >= least} for kind, c in seen.items()}
+
+    def scores(self, text: str, a: int, b: int, path: str) -> list[float]:
+        return [sum(self.odds.get(kind, {}).get(w, 0.0) for w in set(own)) for kind, own in tokens(text, a, b, path).items()]
+
+
+class Dictionary:
+    def __init__(self, words: list[str]):
+        self.words = sorted(set(words))
+        self.set, self.longest = frozenset(self.words), max(map(len, self.words), default=0)
+        counts = np.ones((29, 29))
+        for w in self.words:
+            x = letters(w)
+            np.add.at(counts, (x[:-1], x[1:]), 1)
+        self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
+
+    def coverage(self, run: str) -> float:
+        """The part of the run that words of three letters and more cover, the longest first."""
+        low, at, covered = run.lower(), 0, 0
+        while at < len(low):
+            n = next((k for k in range(min(self.longest, len(low) - at), 2, -1) if low[at : at + k] in self.set), 0)
+            covered += n
+            at += n or 1
+        return covered / len(low)
+
+    def likelihood(self, run: str) -> float:
+        """Mean log probability of its character transitions."""
+        x = letters(run)
+        return float(self.log[x[:-1], x[1:]].mean()) if len(x) > 1 else 0.0
+
+
+def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
+    """The most frequent words of all texts, counted whole; ties in order of the alphabet."""
+    words = docs.select(F.explode(F.split(F.lower(text_or_empty(text)), r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(*LENGTHS))
+    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return [r["word"] for r in top.collect()]
+
+
+def vector(text: str, a: int, b: int, path: str, known: Dictionary, lexicon: Lexicon) -> list[float]:
+    """Features of a candidate."""
+    run, before, after = text[a:b], text[max(0, a - BEFORE) : a], text[b : b + AFTER]
     n = len(run)
     kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in run]
-    count = [kinds.count(k) / n for k in range(4)]
     counts = [run.count(c) / n for c in set(run)]
-    bits = [ord(c) for c in run]
-    words = before.split()
-    near = " ".join(words[-2:]) + before[len(before.rstrip()) :]
     return [
-        float(n), *count,
+        float(n), *[kinds.count(k) / n for k in range(4)],
         sum(x != y for x, y in zip(kinds, kinds[1:])) / max(1, n - 1),
         -sum(p * math.log2(p) for p in counts),
-        sum(abs(x - y) for x, y in zip(bits, bits[1:])) / max(1, n - 1),
-        sum(len(m) for m in SYLLABLES.findall(run)) / n,
+        known.likelihood(run), known.coverage(run),
         float(all(c in "0123456789abcdef" for c in run)),
-        float(bool(NAME.search(near))), float(bool(HARMLESS.search(near) or HARMLESS.search(run))),
+        *lexicon.scores(text, a, b, path),
         float(bool(ASSIGNED.search(before))), float(bool(PLACE.search(before) or after[:1] in ("@", "."))),
-        float(bool(PREFIX.match(run))), float(run.count("-") + run.count("/") + run.count("_")) / n,
+        float(run.count("-") + run.count("/") + run.count("_")) / n,
         float(bool(URL_USER.search(before)) and after[:1] == "@"), float(bool(CODE.search(run))),
     ]
 
@@ -123,7 +195,7 @@ class Forest:
 
 def grow(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 10, least: int = 3, seed: int = 5) -> Forest:
     rng = np.random.default_rng(seed)
-    tries = max(2, round(math.sqrt(x.shape[1])) + 1)
+    tries = max(2, x.shape[1] // 2)
     grown = []
     for _ in range(trees):
         own = rng.integers(0, len(x), len(x))
@@ -147,7 +219,8 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 10, least:
                 gini = np.where(ok, k * p * (1 - p) + (len(rows) - k) * q * (1 - q), 1e9)
                 i = int(gini.argmin())
                 if gini[i] < best[0]:
-                    best = (gini[i], int(f), float((v[i] + v[i + 1]) / 2))
+                    middle = (v[i] + v[i + 1]) / 2
+                    best = (gini[i], int(f), float(middle if middle < v[i + 1] else v[i]))
             if best[1] < 0:
                 continue
             low = x[rows, best[1]] <= best[2]
@@ -159,13 +232,16 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 10, least:
     return Forest(grown)
 
 
-def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label) by rule: credentials of common formats, and harmless runs that look like them."""
+def labelled_findings(words: list[str], n: int = 4000, seed: int = 5) -> list[tuple[str, int, int, int, str]]:
+    """(text, start, end, label, path) by rule: credentials of common formats, and harmless runs that look like them."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choices(chars, k=k))
     low, b36, b64 = "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits
-    parts = ["tion", "the", "er", "an", "ing", "re", "es", "ou", "le", "que", "ment", "eau", "sch", "ver", "heit", "ung", "ein", "co", "ci", "ra", "do", "as", "ie", "en", "th", "nd", "st", "ha", "or", "ll", "rr", "pf", "tz", "wh", "sh", "ai", "aux", "oi", "pa"]
-    word = lambda k=4: "".join(rng.choices(parts, k=rng.randint(1, k)))
+    plain = [w for w in words if w.isascii() and len(w) <= 8] or COMMON
+    short = sum(map(len, plain)) < 4 * len(plain)  # parts of words, of which it takes more
+    word = lambda k=4: "".join(rng.choices(plain, k=rng.randint(1, k if short else max(1, k // 2))))
+    folders = [["src", "app", "deploy", "config", "prod", "infra"], ["tests", "docs", "examples", "fixtures", "vendor", "src"]]
+    where = lambda good: "" if rng.random() < 0.5 else f"{rng.choice(folders[not good or rng.random() < 0.2])}/{word(2)}/{word(2)}.{rng.choice(['py', 'env', 'json', 'md', 'yml'])}"
     out = []
     for i in range(n):
         good = i % 2
@@ -204,10 +280,10 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int,
             elif kind == 7:
                 run = "".join(word(3).capitalize() for _ in range(5))
             else:
-                run, lead = word(6) + word(6) + word(5), rng.choice(["password: ", "token of ", "the key "])
+                run, lead = word(6) + word(6) + word(5), rng.choice(["password: ", "token of ", "key "])
             if len(run) < 12:
                 run += pick(low, 12 - len(run))
-        out.append((before + lead + run + after, len(before + lead), len(before + lead + run), good))
+        out.append((before + lead + run + after, len(before + lead), len(before + lead + run), good, where(good)))
     # Short and odd passwords that are assigned or stand in a URL, and what is no value or a plain word there.
     symbols = "!@#$%^&*?+-_.~"
     leet = str.maketrans("aeiost", "4310$7")
@@ -241,21 +317,38 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, int, int,
             lead, after = f"{rng.choice(['postgres', 'mysql', 'https', 'redis', 'amqp', 'ftp'])}://{word(2)}:", f"@{word(2)}/{word()}"
         else:
             lead, after = name + sign + quote, quote + rng.choice([" ", ". ", "\n", ", "]) + word()
-        out.append((before + lead + run + after, len(before + lead), len(before + lead + run), good))
+        out.append((before + lead + run + after, len(before + lead), len(before + lead + run), good, where(good)))
     return out
 
 
+@dataclass
+class Scanner:
+    forest: Forest
+    known: Dictionary
+    lexicon: Lexicon
+
+    def scores(self, rows: list[tuple[str, int, int, str]]) -> np.ndarray:
+        return self.forest.predict(np.array([vector(*r, self.known, self.lexicon) for r in rows])) if rows else np.zeros(0)
+
+
+def train(words: list[str] | None = None, labelled: list[tuple[str, int, int, int, str]] | None = None) -> Scanner:
+    """words: of dictionary(), else a few common ones. labelled: (text, start, end, label, path), else made by rule."""
+    words = words or COMMON
+    labelled = labelled or labelled_findings(words)
+    known, lexicon = Dictionary(words), Lexicon(labelled)
+    x = np.array([vector(t, a, b, path, known, lexicon) for t, a, b, _, path in labelled])
+    return Scanner(grow(x, np.array([r[3] for r in labelled], dtype=np.float64)), known, lexicon)
+
+
 @functools.cache
-def default_forest() -> Forest:
-    rows = labelled_findings()
-    return grow(np.array([vector(*r[:3]) for r in rows]), np.array([r[3] for r in rows], dtype=np.float64))
+def default_scanner() -> Scanner:
+    return train()
 
 
-def findings(texts: list[str], forest: Forest, threshold: float = 0.5) -> list[tuple[int, list[tuple[int, int, float]]]]:
+def findings(texts: list[str], scanner: Scanner, threshold: float = 0.5, paths: list[str] | None = None) -> list[tuple[int, list[tuple[int, int, float]]]]:
     """Per text: how many candidates it has, and (start, end, score) of those the forest takes for secrets."""
     spans = [candidates(t) for t in texts]
-    x = [vector(t, a, b) for t, own in zip(texts, spans) for a, b in own]
-    scores = iter(forest.predict(np.array(x)).tolist() if x else [])
+    scores = iter(scanner.scores([(t, a, b, p) for t, p, own in zip(texts, paths or [""] * len(texts), spans) for a, b in own]).tolist())
     scored = [[(a, b, next(scores)) for a, b in own] for own in spans]
     return [(len(own), joined([s for s in own if s[2] >= threshold])) for own in scored]
 
@@ -279,45 +372,58 @@ def redact(text: str, spans: list[tuple[int, int, float]], mark: str = "<SECRET>
     return "".join([*out, text[at:]])
 
 
-def scan(df: DataFrame, forest: Forest | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_candidates, n_secrets, spans ("start-end" in code points, comma-joined), redacted_sha256."""
+def scan(df: DataFrame, scanner: Scanner | None = None, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """Per row: key, n_candidates, n_secrets, spans ("start-end" in code points, comma-joined), redacted_sha256.
+    path: a column that says where the text comes from. Without a scanner, one is trained on the words of df."""
     kind = df.schema[key].dataType.simpleString()
-    forest = forest or default_forest()
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        found = findings(texts, forest)
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([n for n, _ in found], pa.int64()),
-                pa.array([len(own) for _, own in found], pa.int64()),
-                pa.array([",".join(f"{a}-{b}" for a, b, _ in own) for _, own in found], pa.string()),
-                pa.array([hashlib.sha256(redact(t, own).encode()).hexdigest() for t, (_, own) in zip(texts, found)], pa.string()),
-            ],
-            names=[key, "n_candidates", "n_secrets", "spans", "redacted_sha256"],
-        )
-
-    return map_texts(df.select(key, text_or_empty(text).alias("text")), "text", f"{key} {kind}, n_candidates long, n_secrets long, spans string, redacted_sha256 string", lambda: work)
-
-
-def remove_secrets(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(scanner or train(dictionary(df, text)))  # under 2 MB
+
+    def make():
+        own = shared.value
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(1).to_pylist()
+            found = findings(texts, own, paths=batch.column(2).to_pylist())
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([n for n, _ in found], pa.int64()),
+                    pa.array([len(spans) for _, spans in found], pa.int64()),
+                    pa.array([",".join(f"{a}-{b}" for a, b, _ in spans) for _, spans in found], pa.string()),
+                    pa.array([hashlib.sha256(redact(t, spans).encode()).hexdigest() for t, (_, spans) in zip(texts, found)], pa.string()),
+                ],
+                names=[key, "n_candidates", "n_secrets", "spans", "redacted_sha256"],
+            )
+
+        return work
+
+    where = F.lit("") if path is None else F.coalesce(F.col(path), F.lit(""))
+    rows = df.select(F.col(key).alias("key"), text_or_empty(text).alias("text"), where.alias("path"))
+    return map_texts(rows, "text", f"`{key}` {kind}, n_candidates long, n_secrets long, spans string, redacted_sha256 string", make)
+
+
+def remove_secrets(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """docs with every secret replaced in text, and n_chars counted again where it is there."""
-    forest, names = forest or default_forest(), docs.columns
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = names.index("text")
-        texts = batch.column(at).to_pylist()
-        new = [t if t is None else redact(t, own) for t, (_, own) in zip(texts, findings([t or "" for t in texts], forest))]
-        columns = list(batch.columns)
-        columns[at] = pa.array(new, batch.schema.field(at).type)
-        if "n_chars" in names:
-            k = names.index("n_chars")
-            old = columns[k].to_pylist()
-            columns[k] = pa.array([o if t is None or t == n else len(n) for o, t, n in zip(old, texts, new)], batch.schema.field(k).type)
-        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return map_texts(docs, "text", docs.schema, lambda: work)
+    shared, names = docs.sparkSession.sparkContext.broadcast(scanner or train(dictionary(docs))), docs.columns
+
+    def make():
+        own = shared.value
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = names.index("text")
+            texts = batch.column(at).to_pylist()
+            new = [t if t is None else redact(t, spans) for t, (_, spans) in zip(texts, findings([t or "" for t in texts], own))]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, batch.schema.field(at).type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                old = columns[k].to_pylist()
+                columns[k] = pa.array([o if t is None or t == n else len(n) for o, t, n in zip(old, texts, new)], batch.schema.field(k).type)
+            return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+        return work
+
+    return map_texts(docs, "text", docs.schema, make)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
