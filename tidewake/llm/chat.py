@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewake.llm.common import cut
+
 ARGUMENTS = "array<struct<key:string,kind:string,text:string,whole:boolean>>"
 TYPES = {"string": "^(?s).*$", "integer": r"^-?[0-9]+$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$"}
 OBJECT = "map<string,variant>"
@@ -157,18 +159,22 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     own = read.select("conv_id", "turn", "role", "text", "j", calls_of.alias("calls"), result_of.alias("call_id"))
     called = F.coalesce(F.size("calls") > 0, F.lit(False))
     turn, role, j = F.col("turn"), F.col("role"), F.col("j")
-    # Messages with calls meet their faults, results the calls they answer; all others are not shuffled.
-    callers = own.filter(called).withColumn("message", F.sha2(F.to_json(F.struct("conv_id", "turn", "text")), 256))  # equal messages have equal faults
-    first = callers.select("conv_id", "turn", F.explode(F.transform("calls", lambda c: at(c, "$.id", "string"))).alias("call_id")).filter("call_id IS NOT NULL")
-    first = first.groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
-    keys, known = (["conv_id", "name"], tool_definitions(messages)) if schemas is None else (["name"], schemas)
-    once = callers.select("message", "conv_id", F.transform("calls", checked_call).alias("calls")).dropDuplicates(["message"])
+    # Messages with calls meet their faults, results the calls they answer; all others are not shuffled. What is taken from
+    # the calls is written once, as several joins read it.
+    message = F.sha2(F.to_json(F.struct("conv_id", "turn", "text")), 256)  # equal messages have equal faults
     lines = F.concat(F.lit('{"tool_calls":['), F.array_join(F.transform("calls", call_line), ","), F.lit("]}"))
+    callers = own.filter(called).select(
+        "conv_id", "turn", message.alias("message"), F.transform("calls", lambda c: at(c, "$.id", "string")).alias("ids"), F.transform("calls", checked_call).alias("calls"),
+        with_more(json_line(turn=turn, role=role, content=at(j, "$.content", "variant")), lines, others(j, "turn", "role", "content", "tool_calls")).alias("line"),
+    )
+    callers = cut(callers, "callers")
+    first = callers.select("conv_id", "turn", F.explode("ids").alias("call_id")).filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
+    keys, known = (["conv_id", "name"], cut(tool_definitions(messages), "tools")) if schemas is None else (["name"], schemas)
+    once = callers.select("message", "conv_id", "calls").dropDuplicates(["message"])
     no_turn, none = F.lit(None).cast(messages.schema["turn"].dataType), F.lit(0).cast("long")
     out = ["conv_id", "turn", "call_id", "call_turn", "n_calls", "n_faults", "line"]
     with_calls = callers.join(schema_faults(once, known, keys, schemas is not None), "message", "left").select(
-        "conv_id", "turn", F.lit(None).cast("string").alias("call_id"), no_turn.alias("call_turn"), F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_faults", none).alias("n_faults"),
-        with_more(json_line(turn=turn, role=role, content=at(j, "$.content", "variant")), lines, others(j, "turn", "role", "content", "tool_calls")).alias("line"),
+        "conv_id", "turn", F.lit(None).cast("string").alias("call_id"), no_turn.alias("call_turn"), F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_faults", none).alias("n_faults"), "line",
     )
     results = own.filter(F.col("call_id").isNotNull() & ~called).join(first, ["conv_id", "call_id"], "left")
     result = with_more(json_line(turn=turn, role=role, tool_call_id=at(j, "$.tool_call_id", "variant"), content=at(j, "$.content", "variant")), others(j, "turn", "role", "tool_call_id", "content"))
