@@ -31,6 +31,14 @@ def delete_cut(df: DataFrame) -> None:
         delete(df.sparkSession, folder)
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    lead = "__"
+    while any(c.lower().startswith(lead) for c in df.columns):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

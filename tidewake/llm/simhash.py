@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut, map_texts, text_or_empty
+from tidewake.llm.common import cut, map_texts, own_names, text_or_empty
 from tidewake.llm.graph import components
 
 RADIUS, WORDS, HOT = 3, 3, 1024
@@ -124,11 +124,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest id, and of equal ids the first row.
 
-    Rows are told apart by their place in the scan, so that null and repeated ids do no harm; docs must be read from
-    files, which gives the same places in every attempt."""
-    keyed = docs.withColumn("__row", F.struct(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row")))
-    best = near_duplicates(keyed.select("__row", "text"), "__row").select("component_id").distinct()
-    return keyed.join(best, F.col("__row.row") == F.col("component_id.row"), "left_semi").select(*docs.columns)
+    Rows are told apart by numbers that are written with them once, so that null and repeated ids do no harm."""
+    (row,) = own_names(docs, "row")
+    keyed = cut(docs.withColumn(row, F.struct(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))), "numbered-rows")
+    best = near_duplicates(keyed.select(row, "text"), row).select("component_id").distinct()
+    return keyed.join(best, F.col(f"{row}.row") == F.col("component_id.row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
