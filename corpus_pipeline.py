@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages, each written as Parquet and read again before the next.
 
-Rows with null or empty text pass through every stage with the defined results of its operator.
+Rows with null or empty text pass through every stage with the defined results of its operator: the classifier scores
+them by its bias, they are near duplicates of each other, hold no benchmark passage and no secret, and have no ids. Rows
+with a null id are kept like any other. Repeated rows and ties: one of a group of near duplicates stays, that of the
+smallest id, and of equal ids the first row. Empty tables pass as such. All columns are kept up to the last stage, whatever
+their names; long texts are worked on whole.
 """
 
 from __future__ import annotations
