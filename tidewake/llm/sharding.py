@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewake.llm.common import cut
+from tidewake.llm.common import cut, own_names
 from tidewake.sources.shared import shared_path
 
 BUCKET_BYTES = 24 << 20
@@ -57,14 +57,6 @@ def scatter_hash(key: str, text: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(key), F.col(text))
 
 
-def own_names(df: DataFrame, *names: str) -> list[str]:
-    """Names like these that no column of df has."""
-    lead = "__"
-    while any(c.lower().startswith(lead) for c in df.columns):
-        lead += "_"
-    return [lead + n for n in names]
-
-
 def scatter_equals(hashed: DataFrame, hot: DataFrame, h: str, seed: int) -> DataFrame:
     """hashed with a hash of its own for each row of a hot hash: equal rows are counted where they are and made again."""
     names, (n, span, i) = hashed.columns, own_names(hashed, "n", "span", "i")
@@ -101,8 +93,9 @@ def shuffle_shards(df: DataFrame, n_shards: int, seed: int = SEED, bucket_bytes:
         rng.shuffle(order)
         return rows.take(pa.array(order)).append_column(place, pa.array(np.arange(len(order), dtype=np.int64)))
 
-    # A partition a bucket, which adaptive execution leaves as they are.
-    shuffled = hashed.repartition(min(n_buckets, MAX_TASKS), bucket).groupBy(bucket).applyInArrow(fisher_yates, out)
+    # A partition a bucket, which adaptive execution leaves as they are; beyond MAX_TASKS several by their hash.
+    dealt = hashed.repartitionById(n_buckets, F.col(bucket)) if n_buckets <= MAX_TASKS else hashed.repartition(MAX_TASKS, bucket)
+    shuffled = dealt.groupBy(bucket).applyInArrow(fisher_yates, out)
     sizes = hashed.groupBy(bucket).agg(F.count(F.lit(1)).alias(n))
     offsets = sizes.select(bucket, (F.sum(n).over(Window.orderBy(bucket)) - F.col(n)).alias(before))
     at = F.col(before) + F.col(place)
