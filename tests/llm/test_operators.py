@@ -94,12 +94,15 @@ def test_sharding_by_brute_force(spark, texts):
         assert tuple(rows[k])[1:4] == (len(raw) + 1, zlib.crc32(raw), "rows") and rows[k]["grown_shard"] is None
 
 
-def test_sharding_has_a_task_a_bucket_and_writes_whole_rows(spark, tmp_path):
+def test_sharding_has_a_task_a_bucket_and_writes_whole_rows(spark, tmp_path, monkeypatch):
     rows = [(i, f"text {i} " * 20, "a", i % 3, {"k": i}) for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, __hash string, __bucket int, more map<string,int>")
     size = df.select(F.sum(sharding.row_weight(df))).first()[0]
     out = sharding.shuffle_shards(df, 3, bucket_bytes=-(-size // 20))
-    assert "hashpartitioning(___bucket" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
+    assert "direct_shuffle_partition_id(___bucket" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
+    monkeypatch.setattr(sharding, "MAX_TASKS", 6)
+    few = sharding.shuffle_shards(df, 3, bucket_bytes=-(-size // 20))
+    assert sorted(map(str, few.collect())) == sorted(map(str, out.collect())) and ", 6), REPARTITION_BY_NUM" in few._jdf.queryExecution().executedPlan().toString()
     back = sharding.write_shards(out, str(tmp_path / "shards"))
     assert sorted(tuple(r)[:5] for r in back.collect()) == sorted(rows, key=lambda r: r[0])
     for shard in range(3):
@@ -356,7 +359,7 @@ def test_secrets_paths_are_learned():
 
 def test_dictionary_counts_whole_texts(spark):
     docs = spark.createDataFrame([("aaa bbb, AAA-ccc 12 ab",), (None,), ("bbb " * 5000 + "aaa",), ("Éclair abcdefghijklmn",)], "text string")
-    assert secrets.dictionary(docs) == ["bbb", "aaa", "ccc", "éclair"] and secrets.dictionary(docs, size=2) == ["bbb", "aaa"] and secrets.dictionary(empty(docs)) == []
+    assert secrets.dictionary(docs) == ["bbb", "aaa", "ccc", "éclair"] and secrets.dictionary(docs, size=2) == ["bbb", "aaa"] == secrets.dictionary(docs, size=3) and secrets.dictionary(empty(docs)) == []
 
 
 def brute_force(ids, v, q, k=10):
@@ -644,3 +647,45 @@ def test_pipeline(spark, texts):
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(component.values()))
     hit = {r["doc_id"] for r in decontaminate.scan(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("contaminated").collect()}
     assert not hit & set(ids)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    letters, long_piece = random.Random(9), "".join(random.Random(10).choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    good = lambda: " ".join("".join(letters.choices("aeioulnrst", k=letters.randint(2, 8))) for _ in range(60))
+    leak = " ".join(f"bench{i}" for i in range(12))
+    rows = [(i, good(), "en", "web", 0) for i in range(40)] + [(100 + i, "!!! $$$ buy buy " * 20 + str(i) * 5, "en", "web", 0) for i in range(40)]
+    same = good()
+    odd = [(200, None), (201, ""), (202, same), (203, same), (203, same), (None, good()), (204, f"{good()} {leak} {good()}"), (205, f"{good()} password=b7db7aa4a5fcc78305 {good()}"), (206, f"{good()} {long_piece} {good()}"), (207, good() * 300)]
+    rows += [(k, t, None, "x", None) for k, t in odd]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    tables = {"documents": spark.createDataFrame([(*r, "a", "b", 1, 2) for r in rows], f"{schema}, __digest string, digest string, __row int, place int")}
+    tables["labels"] = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, quality int")
+    tables["benchmark"] = spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string")
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, common.cut(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == before.columns, name
+        assert stage(spark, empty(before), str(tmp_path)).count() == 0, name
+        assert docs.select("__digest", "digest", "__row", "place").distinct().collect() == [("a", "b", 1, 2)], name
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sum(k in kept for k in range(40)) >= 38 and sum(k in kept for k in range(100, 140)) <= 2
+    assert {205, 206, 207, None} <= set(kept) and 204 not in kept and len({202, 203} & set(kept)) == 1
+    assert "b7db7aa4a5fcc78305" not in kept[205] and "<SECRET>" in kept[205]
+    coder = bpe.load(None)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        raw = (kept[r["doc_id"]] or "").encode()
+        ids = library_ids(raw.decode())
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest())
+    assert coder.decode(coder.encode_texts([long_piece])[0]) == long_piece.encode()
+
+
+def library_ids(text):
+    import public_tokenizers as P
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load(None).ranks, special_tokens={})
+    return library.encode_ordinary(text)

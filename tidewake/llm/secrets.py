@@ -7,7 +7,7 @@ or unquoted to the next blank without a final full stop, comma or semicolon), or
 The forest (numpy, decision trees on bootstrap samples with random feature subsets) sees a candidate's length, the
 likelihood of its character transitions, its dictionary coverage, the words before, after and inside it, its first
 characters, and the path. Dictionary and transitions come from the words of the documents themselves, counted over all of
-them (the ``DICTIONARY`` most frequent are kept); what words, beginnings and paths say is learned, as log odds, from
+them (about the ``DICTIONARY`` most frequent are kept); what words, beginnings and paths say is learned, as log odds, from
 the labelled findings: the caller's, or the seeded set that labelled_findings() makes by rule of the same dictionary.
 
 Defined results: null and empty texts have no findings; equal texts have equal findings (with paths, equal texts and
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import map_texts, text_or_empty
+from tidewake.llm.common import cut, map_texts, text_or_empty
 
 RUN = re.compile(r"[A-Za-z0-9_\-+/]{8,}")
 SECRET_NAME = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api_?key|auth|credential|private_?key|access_?key)[\"']?\s{0,3}"
@@ -152,10 +152,20 @@ class Dictionary:
 
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
-    """The most frequent words of all texts, counted whole; ties in order of the alphabet."""
+    """The most frequent words of all texts, counted whole: at most size, without those as frequent as a word beyond it.
+
+    The count from which a word belongs is found from how many words have each count, in ranges that grow by a
+    hundredth, so that no more than the words themselves reaches the driver."""
     words = docs.select(F.explode(F.split(F.lower(text_or_empty(text)), r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(*LENGTHS))
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
+    counts = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    ranges = counts.groupBy(F.floor(F.log("n") * 100).alias("range")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))  # under 5,000 rows
+    least, total = None, 0
+    for r in sorted(ranges.collect(), key=lambda r: -r["range"]):
+        total += r["words"]
+        if total > size:
+            break
+        least = r["least"]
+    return [] if least is None else [r["word"] for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()]
 
 
 def vector(text: str, a: int, b: int, path: str, known: Dictionary, lexicon: Lexicon) -> list[float]:
