@@ -489,6 +489,60 @@ def test_covering_masks_miss_no_pair():
     assert max(64 - m.bit_count() for _, _, m in simhash.masks(3)) <= 10
 
 
+def test_quarter_masks_miss_no_pair():
+    rng = random.Random(5)
+    first, second = simhash.quarter_masks(1), simhash.quarter_masks(2)
+    assert len(first) == 124 and len({t for _, t, _, _ in second}) == 3844
+    for _ in range(2000):
+        x = sum(1 << b for b in rng.sample(range(128), 19))
+        quarters = [x >> 32 * (3 - q) & 0xFFFFFFFF for q in range(4)]
+        parents = {t for _, t, q, m in first if not quarters[q] & m}
+        assert parents and parents & {p for p, _, q, m in second if not quarters[q] & m}
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 100])
+def test_links_of_similar_fingerprints_are_exact(spark, hot):
+    rng = random.Random(4)
+    centre = rng.getrandbits(128)
+    fps = sorted({centre ^ sum(1 << b for b in rng.sample(range(128), rng.choice([1, 3, 5, 20]))) for _ in range(400)} | {rng.getrandbits(128) for _ in range(100)})
+    halves = lambda f: (simhash.signed(f >> 64), simhash.signed(f & (1 << 64) - 1))
+    number = {halves(f): i for i, f in enumerate(fps)}
+
+    def classes(links):
+        root = list(range(len(fps)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in links:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        return [find(i) for i in range(len(fps))]
+
+    df = spark.createDataFrame(list(number), "f1 long, f2 long")
+    got = [(number[r[:2]], number[r[2:]]) for r in map(tuple, simhash.similar_links(df, hot).distinct().collect())]
+    near = [(j, i) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 19]
+    assert set(map(tuple, map(sorted, got))) <= set(near)
+    assert classes(got) == classes(near)
+
+
+def test_one_of_similar(spark, edges):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    near = words.copy()
+    near[100] = "other"
+    far = [w if i % 4 else "other" for i, w in enumerate(words)]
+    more = [(20, " ".join(words)), (21, " ".join(near)), (22, " ".join(far)), (23, " ".join(words).upper()), (24, " ".join(near)), (25, "a b c d"), (26, "a b c e")]
+    df = spark.createDataFrame([(*r, 0, 0, "x") for r in EDGES + more], edges.schema)
+    got = simhash.one_of_similar(df)
+    assert got.columns == df.columns
+    # The null id is of no group but its own text's; null, empty and blank texts are copies of each other.
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(map(str, [1, None, 3, 5, 7, 20, 22, 25, 26]))
+    assert simhash.one_of_similar(empty(df)).count() == 0
+
+
 def test_chat(spark):
     call = json.dumps({"tool_calls": [{"id": "c1", "name": "add", "arguments": {"b": "x", "a": "1"}}]})
     rows = [(1, 0, "user", "hi \"x\""), (1, 2, "assistant", call), (1, 1, "tool", json.dumps({"tool_call_id": "c1", "content": "3"})), (1, 3, "tool", json.dumps({"tool_call_id": "zz", "content": "?"})), (2, None, None, None), (2, 0, "user", "{bad json"), (2, 0, "user", "{bad json")]

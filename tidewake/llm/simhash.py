@@ -6,6 +6,13 @@ table holds the pair in one bucket: no pair within the radius is missed. Buckets
 split again by the same construction on the bits they have not compared, and a third time; then at most 2**10
 fingerprints share a bucket. Inside a bucket only a spanning set of the links is kept, never all pairs.
 
+``one_of_similar`` (the pipeline's stage) finds near copies by a similarity instead: the fingerprint has 128 bits, over the
+distinct five-word shingles, and links at 19 or fewer differing bits, which is where it estimates a Jaccard similarity of 0.8
+(bits differ at the angle whose cosine is 2J / (1 + J), over pi). One of its four quarters then differs in at most four
+bits, and 31 masks of each quarter miss none of these: 124 tables. A bucket of up to ``WIDE_HOT``
+fingerprints (16 bytes each) is compared in one task; larger ones are split once more as above, and what then still shares a
+bucket agrees on most of a quarter: copies of one text mostly, whose comparison is linear, since each linked one leaves.
+
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; repeated rows share a
 fingerprint and a component; component_id is the smallest id of the component that is not null, or null; an empty
 table gives an empty result; long texts are hashed whole; other input columns are ignored.
@@ -13,7 +20,8 @@ table gives an empty result; long texts are hashed whole; other input columns ar
 
 from __future__ import annotations
 
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +58,11 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return map_texts(df.select(key, text_or_empty(text).alias("text")), "text", f"{key} {kind}, fp long", lambda: work)
 
 
-def covering(bits: list[int]) -> list[int]:
-    """15 masks over the given bit positions; bits that differ in at most 3 of these are outside some mask."""
-    vector = {b: 1 + i % 15 for i, b in enumerate(bits)}
-    return [sum(1 << b for b in bits if (vector[b] & v).bit_count() % 2) for v in range(1, 16)]
+def covering(bits: list[int], radius: int = RADIUS) -> list[int]:
+    """2**(radius + 1) - 1 masks over the given bit positions; bits that differ in at most radius of these are outside some mask."""
+    n = (2 << radius) - 1
+    vector = {b: 1 + i % n for i, b in enumerate(bits)}
+    return [sum(1 << b for b in bits if (vector[b] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
 def masks(level: int) -> list[tuple[int, int, int]]:
@@ -131,5 +140,134 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return keyed.join(best, F.col(f"{row}.row") == F.col("component_id.row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+#: Near copies of the pipeline: words of a shingle, differing bits of 128 that link, bits of a quarter that may differ.
+SIMILAR_WORDS, SIMILAR_RADIUS, QUARTER_RADIUS, WIDE_HOT = 5, 19, 4, 1 << 16
+
+
+def wide_fingerprint(text: str) -> bytes:
+    words = text.encode().lower().split()
+    if not words:
+        return bytes(16)
+    shingles = list(set(map(b" ".join, zip(*(words[i:] for i in range(SIMILAR_WORDS)))))) or [b" ".join(words)]
+    ones = np.zeros(128, dtype=np.int64)
+    for i in range(0, len(shingles), 8192):
+        digests = b"".join(map(xxhash.xxh128_digest, shingles[i : i + 8192]))
+        ones += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(shingles)).tobytes()
+
+
+def wide_fingerprints(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, f1, f2: the halves of the wide fingerprint as signed LONGs."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        halves = np.frombuffer(b"".join(map(wide_fingerprint, batch.column(1).to_pylist())), ">i8").astype(np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=[key, "f1", "f2"])
+
+    return map_texts(df.select(key, text_or_empty(text).alias("text")), "text", f"{key} {kind}, f1 long, f2 long", lambda: work)
+
+
+def quarter_masks(level: int) -> list[tuple[int, int, int, int]]:
+    """(parent table, table, quarter, bits of the quarter that are compared) of a level; the parents of level 1 are the quarters."""
+    tables = [(0, q, q, 0) for q in range(4)]
+    for _ in range(level):
+        tables = [(t, t * 31 + i, q, done | m) for _, t, q, done in tables for i, m in enumerate(covering([b for b in range(32) if not done >> b & 1], QUARTER_RADIUS))]
+    return tables
+
+
+def similar_pairs(f: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(f[0][left] ^ f[0][right]) + np.bitwise_count(f[1][left] ^ f[1][right]) <= SIMILAR_RADIUS
+
+
+def links_in_buckets(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (left, right) of links that connect, inside each run of equal k, exactly what the radius connects."""
+    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(k)])
+    after = np.repeat(starts + sizes, sizes) - np.arange(len(k)) - 1  # members of the bucket behind each
+    at = np.flatnonzero((after > 0) & (np.repeat(sizes, sizes) <= 256))
+    found_left, found_right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, 256):
+        at = at[after[at] >= step]
+        if not len(at):
+            break
+        near = at[similar_pairs(f, at, at + step)]
+        found_left.append(near)
+        found_right.append(near + step)
+    left, right = np.concatenate(found_left), np.concatenate(found_right)
+    # A link is left out where both ends are linked to the same first member, which comes before them.
+    first = np.full(len(k), len(k))
+    np.minimum.at(first, right, left)
+    keep = (first[right] == left) | (first[left] != first[right])
+    found_left, found_right = [left[keep]], [right[keep]]
+    for start, size in zip(starts[sizes > 256].tolist(), sizes[sizes > 256].tolist()):
+        todo = np.arange(start, start + size)
+        while len(todo):
+            wave, todo = [todo[0]], todo[1:]
+            while wave and len(todo):
+                root = np.array([wave.pop()])
+                hit = similar_pairs(f, todo, root)
+                near, todo = todo[hit], todo[~hit]
+                wave += near.tolist()
+                found_left.append(np.repeat(root, len(near)))
+                found_right.append(near)
+    return np.concatenate(found_left), np.concatenate(found_right)
+
+
+def links_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows k, f1, f2 sorted by k: the links of each bucket. A bucket may span batches."""
+    held: list[np.ndarray] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if held and held[-1][0, 0] == new[0, -1]:
+                held.append(new)
+                continue
+            rows = np.concatenate([*held, new], axis=1)
+            end = int(np.searchsorted(rows[0], rows[0, -1]))
+            held, rows = [rows[:, end:]], rows[:, :end]
+        else:
+            rows = np.concatenate([np.zeros((3, 0), np.int64), *held], axis=1)
+        left, right = links_in_buckets(rows[0], rows[1:].view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[c, p]) for p in (left, right) for c in (1, 2)], names=["a1", "a2", "b1", "b2"])
+
+
+def similar_links(distinct: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
+    """a1, a2, b1, b2: links that connect the distinct wide fingerprints (f1, f2) exactly as all pairs within the radius do."""
+    spark = distinct.sparkSession
+    quarters = [F.shiftrightunsigned("f1", 32), F.col("f1"), F.shiftrightunsigned("f2", 32), F.col("f2")]
+    keys = [quarters[q].bitwiseAND(F.lit(m).cast("long")).bitwiseOR(F.lit(t << 32).cast("long")) for _, t, q, m in quarter_masks(1)]
+    rows, out = distinct.select("f1", "f2", F.explode(F.array(*keys)).alias("k")).select("k", "f1", "f2"), None
+    for level in (1, 2):
+        hot_keys = cut(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("k"), "hot-buckets") if level == 1 else None
+        last = hot_keys is None or hot_keys.isEmpty()
+        dealt = rows.repartition("k")
+        own = dealt if last else dealt.join(hot_keys, "k", "left_anti")
+        found = own.sortWithinPartitions("k").mapInArrow(links_of_sorted, "a1 long, a2 long, b1 long, b2 long")
+        out = found if out is None else out.unionByName(found)
+        if last:
+            return out
+        # The masks are a fixed table of 3,844 rows.
+        finer = spark.createDataFrame([(p, t, q, m) for p, t, q, m in quarter_masks(2)], "p long, t long, q int, m long")
+        members = cut(rows.join(hot_keys, "k", "left_semi").select("f1", "f2", F.shiftright("k", 32).alias("p")).distinct(), "hot-members")
+        quarter = F.when(F.col("q") == 0, quarters[0]).when(F.col("q") == 1, quarters[1]).when(F.col("q") == 2, quarters[2]).otherwise(quarters[3])
+        rows = members.join(F.broadcast(finer), "p").select(quarter.bitwiseAND(F.col("m")).bitwiseOR(F.shiftleft("t", 32)).alias("k"), "f1", "f2")
+
+
+def one_of_similar(docs: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
+    """docs with one row of each group of near copies (five-word shingles, an estimated similarity of 0.8 or more, and what
+    such links connect): that of the smallest id, and of equal ids the first row. Odd rows are as in one_of_each."""
+    (row,) = own_names(docs, "row")
+    keyed = cut(docs.withColumn(row, F.struct(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))), "numbered-rows")
+    prints = wide_fingerprints(keyed.select(row, "text"), row)
+    distinct = cut(prints.groupBy("f1", "f2").agg(F.min(row).alias("least")).withColumn("node", F.monotonically_increasing_id()), "fingerprint-ids")
+    pairs = cut(similar_links(distinct.select("f1", "f2"), hot).distinct(), "similar")
+    a, b = (distinct.select(F.col("f1").alias(f"{x}1"), F.col("f2").alias(f"{x}2"), F.col("node").alias(x)) for x in "ab")
+    roots = components(pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"))
+    best = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("best")).select("best.row")
+    return keyed.join(best, F.col(f"{row}.row") == best["row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
