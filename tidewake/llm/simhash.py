@@ -6,7 +6,7 @@ table holds the pair in one bucket: no pair within the radius is missed. Buckets
 split again by the same construction on the bits they have not compared, and a third time; then at most 2**10
 fingerprints share a bucket. Inside a bucket only a spanning set of the links is kept, never all pairs.
 
-``one_of_similar`` (the pipeline's stage) finds near copies by a similarity instead: the fingerprint has 128 bits, over the
+``one_of_similar`` finds near copies by a similarity instead: the fingerprint has 128 bits, over the
 distinct five-word shingles, and links at 19 or fewer differing bits, which is where it estimates a Jaccard similarity of 0.8
 (bits differ at the angle whose cosine is 2J / (1 + J), over pi). One of its four quarters then differs in at most four
 bits, and 31 masks of each quarter miss none of these: 124 tables. A bucket of up to ``WIDE_HOT``
@@ -140,7 +140,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return keyed.join(best, F.col(f"{row}.row") == F.col("component_id.row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-#: Near copies of the pipeline: words of a shingle, differing bits of 128 that link, bits of a quarter that may differ.
+#: Near copies: words of a shingle, differing bits of 128 that link, bits of a quarter that may differ.
 SIMILAR_WORDS, SIMILAR_RADIUS, QUARTER_RADIUS, WIDE_HOT = 5, 19, 4, 1 << 16
 
 
@@ -200,16 +200,18 @@ def links_in_buckets(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarr
     keep = (first[right] == left) | (first[left] != first[right])
     found_left, found_right = [left[keep]], [right[keep]]
     for start, size in zip(starts[sizes > 256].tolist(), sizes[sizes > 256].tolist()):
-        todo = np.arange(start, start + size)
+        todo, x, y = np.arange(start, start + size), f[0][start : start + size], f[1][start : start + size]
+        wave: list[int] = []
         while len(todo):
-            wave, todo = [todo[0]], todo[1:]
-            while wave and len(todo):
-                root = np.array([wave.pop()])
-                hit = similar_pairs(f, todo, root)
-                near, todo = todo[hit], todo[~hit]
-                wave += near.tolist()
-                found_left.append(np.repeat(root, len(near)))
-                found_right.append(near)
+            root = wave.pop() if wave else int(todo[0])
+            near = np.bitwise_count(x ^ f[0][root]) + np.bitwise_count(y ^ f[1][root]) <= SIMILAR_RADIUS
+            if near.any():
+                hit = todo[near]
+                todo, x, y = todo[~near], x[~near], y[~near]
+                hit = hit[hit != root]
+                wave += hit.tolist()
+                found_left.append(np.full(len(hit), root))
+                found_right.append(hit)
     return np.concatenate(found_left), np.concatenate(found_right)
 
 
