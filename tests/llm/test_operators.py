@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -501,7 +502,7 @@ def test_quarter_masks_miss_no_pair():
 
 
 @pytest.mark.parametrize("hot", [1 << 16, 100])
-def test_links_of_similar_fingerprints_are_exact(spark, hot):
+def test_classes_of_similar_fingerprints_are_exact(spark, hot):
     rng = random.Random(4)
     centre = rng.getrandbits(128)
     fps = sorted({centre ^ sum(1 << b for b in rng.sample(range(128), rng.choice([1, 3, 5, 20]))) for _ in range(400)} | {rng.getrandbits(128) for _ in range(100)})
@@ -521,11 +522,35 @@ def test_links_of_similar_fingerprints_are_exact(spark, hot):
             root[high] = low
         return [find(i) for i in range(len(fps))]
 
-    df = spark.createDataFrame(list(number), "f1 long, f2 long")
-    got = [(number[r[:2]], number[r[2:]]) for r in map(tuple, simhash.similar_links(df, hot).distinct().collect())]
+    df = spark.createDataFrame([(*f, i) for f, i in number.items()], "f1 long, f2 long, node long")
+    got = {r["node"]: r["root"] for r in simhash.similar_classes(df, hot).collect()}
     near = [(j, i) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 19]
-    assert set(map(tuple, map(sorted, got))) <= set(near)
-    assert classes(got) == classes(near)
+    want = classes(near)
+    assert [got[i] for i in range(len(fps))] == want and len(got) == len(fps)
+
+
+def test_links_of_sorted_buckets_in_any_batches():
+    rng = random.Random(6)
+    centre = rng.getrandbits(62)
+    rows = sorted((k, centre ^ sum(1 << b for b in rng.sample(range(62), 12)), centre, i) for i, k in enumerate(sorted(rng.choices(range(9), [1, 1, 1, 1, 30, 1, 1, 60, 2], k=900))))
+    pairs = [(x[3], y[3]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and (x[1] ^ y[1]).bit_count() <= 19]
+
+    def classes(links):
+        seen = {}
+        for a, b in links:
+            low, high = sorted((seen.get(a, a), seen.get(b, b)))
+            seen |= {n: low for n in [a, b, *(n for n, r in seen.items() if r == high)]}
+        return seen
+
+    for hot, size in ((None, 900), (None, 7), (100, 900), (100, 50), (100, 7), (5, 13)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], names=["k", "f1", "f2", "node"]) for i in range(0, 900, size)]
+        got = [r for b in simhash.links_of_sorted(iter(batches), hot) for r in b.to_pylist()]
+        counts = {k: sum(r[0] == k for r in rows) for k in range(9)}
+        over = {k for k, n in counts.items() if hot and n > hot}
+        assert sorted(r["hot"] for r in got if r["hot"] is not None) == sorted(over)
+        cold = {r[3] for r in rows if r[0] not in over}
+        assert classes([(r["a"], r["b"]) for r in got if r["hot"] is None]) == classes([p for p in pairs if p[0] in cold])
+    assert list(simhash.links_of_sorted(iter([]), 5))[0].num_rows == 0
 
 
 def test_one_of_similar(spark, edges):

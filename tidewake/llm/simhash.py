@@ -21,6 +21,7 @@ table gives an empty result; long texts are hashed whole; other input columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain, repeat
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut, map_texts, own_names, text_or_empty
+from tidewake.llm.common import cut, look_up, map_texts, own_names, text_or_empty
 from tidewake.llm.graph import components
 
 RADIUS, WORDS, HOT = 3, 3, 1024
@@ -179,8 +180,9 @@ def similar_pairs(f: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndar
     return np.bitwise_count(f[0][left] ^ f[0][right]) + np.bitwise_count(f[1][left] ^ f[1][right]) <= SIMILAR_RADIUS
 
 
-def links_in_buckets(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (left, right) of links that connect, inside each run of equal k, exactly what the radius connects."""
+def links_in_buckets(k: np.ndarray, f: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right): nodes to link, so that inside each run of equal k exactly what the radius connects is connected; rows
+    of one node are already."""
     starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(k)])
     after = np.repeat(starts + sizes, sizes) - np.arange(len(k)) - 1  # members of the bucket behind each
@@ -190,7 +192,7 @@ def links_in_buckets(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarr
         at = at[after[at] >= step]
         if not len(at):
             break
-        near = at[similar_pairs(f, at, at + step)]
+        near = at[similar_pairs(f, at, at + step) & (node[at] != node[at + step])]
         found_left.append(near)
         found_right.append(near + step)
     left, right = np.concatenate(found_left), np.concatenate(found_right)
@@ -203,58 +205,84 @@ def links_in_buckets(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarr
         todo, x, y = np.arange(start, start + size), f[0][start : start + size], f[1][start : start + size]
         wave: list[int] = []
         while len(todo):
-            root = wave.pop() if wave else int(todo[0])
+            root = heappop(wave) if wave else int(todo[0])
             near = np.bitwise_count(x ^ f[0][root]) + np.bitwise_count(y ^ f[1][root]) <= SIMILAR_RADIUS
             if near.any():
                 hit = todo[near]
                 todo, x, y = todo[~near], x[~near], y[~near]
                 hit = hit[hit != root]
-                wave += hit.tolist()
+                for i in hit.tolist():
+                    heappush(wave, i)
                 found_left.append(np.full(len(hit), root))
                 found_right.append(hit)
-    return np.concatenate(found_left), np.concatenate(found_right)
+    left, right = node[np.concatenate(found_left)], node[np.concatenate(found_right)]
+    return left[left != right], right[left != right]
 
 
-def links_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows k, f1, f2 sorted by k: the links of each bucket. A bucket may span batches."""
+def links_of_sorted(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.RecordBatch]:
+    """Of rows k, f1, f2, node sorted by k and node: the links a, b of each bucket, and the key of each bucket of more than
+    hot rows, which is not held. A bucket may span batches. Links lead to the first members of a bucket where they can,
+    so that different tables find the same ones."""
     held: list[np.ndarray] = []
+    passed = None
     for batch in chain(batches, [None]):
+        over: list[int] = []
         if batch is not None:
-            if not batch.num_rows:
-                continue
             new = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if held and held[-1][0, 0] == new[0, -1]:
-                held.append(new)
+            new = new if passed is None else new[:, new[0] != passed]
+            if not new.shape[1]:
+                continue
+            held.append(new)
+            last = int(new[0, -1])
+            if held[0][0, 0] == last and (hot is None or sum(x.shape[1] for x in held) <= hot):
                 continue
-            rows = np.concatenate([*held, new], axis=1)
-            end = int(np.searchsorted(rows[0], rows[0, -1]))
+            rows = np.concatenate(held, axis=1)
+            end = int(np.searchsorted(rows[0], last))
             held, rows = [rows[:, end:]], rows[:, :end]
+            if hot is not None and held[0].shape[1] > hot:
+                passed, held = last, []
+                over.append(last)
         else:
-            rows = np.concatenate([np.zeros((3, 0), np.int64), *held], axis=1)
-        left, right = links_in_buckets(rows[0], rows[1:].view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(rows[c, p]) for p in (left, right) for c in (1, 2)], names=["a1", "a2", "b1", "b2"])
+            rows = np.concatenate([np.zeros((4, 0), np.int64), *held], axis=1)
+        keys, sizes = np.unique(rows[0], return_counts=True)
+        large = sizes > hot if hot is not None else np.zeros(len(keys), bool)
+        over += keys[large].tolist()
+        rows = rows[:, ~np.repeat(large, sizes)]
+        left, right = links_in_buckets(rows[0], rows[1:3].view(np.uint64), rows[3])
+        none = pa.nulls(len(over), pa.int64())
+        columns = [pa.array([None] * len(left) + over, pa.int64()), *(pa.concat_arrays([pa.array(x), none]) for x in (left, right))]
+        yield pa.RecordBatch.from_arrays(columns, names=["hot", "a", "b"])
+
+
+def similar_classes(distinct: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
+    """node, root: what links of all pairs within the radius connect of the distinct wide fingerprints (f1, f2, node LONG).
+
+    Two tables a quarter come first. What they connect is one node for the others, which so find few links more even in a
+    large group of near copies."""
+    quarters = [F.shiftrightunsigned("f1", 32), F.col("f1"), F.shiftrightunsigned("f2", 32), F.col("f2")]
+    tables = [(t, quarters[q].bitwiseAND(F.lit(m).cast("long")).bitwiseOR(F.lit(t << 32).cast("long"))) for _, t, q, m in quarter_masks(1)]
 
+    def dealt(prints: DataFrame, keys: list) -> DataFrame:
+        return prints.select("f1", "f2", "root", F.explode(F.array(*keys)).alias("k")).select("k", "f1", "f2", "root")
 
-def similar_links(distinct: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
-    """a1, a2, b1, b2: links that connect the distinct wide fingerprints (f1, f2) exactly as all pairs within the radius do."""
-    spark = distinct.sparkSession
-    quarters = [F.shiftrightunsigned("f1", 32), F.col("f1"), F.shiftrightunsigned("f2", 32), F.col("f2")]
-    keys = [quarters[q].bitwiseAND(F.lit(m).cast("long")).bitwiseOR(F.lit(t << 32).cast("long")) for _, t, q, m in quarter_masks(1)]
-    rows, out = distinct.select("f1", "f2", F.explode(F.array(*keys)).alias("k")).select("k", "f1", "f2"), None
-    for level in (1, 2):
-        hot_keys = cut(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("k"), "hot-buckets") if level == 1 else None
-        last = hot_keys is None or hot_keys.isEmpty()
-        dealt = rows.repartition("k")
-        own = dealt if last else dealt.join(hot_keys, "k", "left_anti")
-        found = own.sortWithinPartitions("k").mapInArrow(links_of_sorted, "a1 long, a2 long, b1 long, b2 long")
-        out = found if out is None else out.unionByName(found)
-        if last:
-            return out
+    def found(rows: DataFrame, most: int | None) -> DataFrame:
+        links = rows.repartition("k").sortWithinPartitions("k", "root").mapInArrow(lambda batches: links_of_sorted(batches, most), "hot long, a long, b long")
+        return cut(links.distinct(), "similar")
+
+    early = [key for t, key in tables if t % 31 < 2]
+    first = found(dealt(distinct.withColumn("root", F.col("node")), early), hot)
+    prints = cut(distinct.join(components(first.filter("hot IS NULL").select("a", "b")), "node", "left").withColumn("root", F.coalesce("root", "node")), "first-classes")
+    rest = found(dealt(prints, [key for t, key in tables if t % 31 >= 2]), hot)
+    links, hot_keys = rest.filter("hot IS NULL").select("a", "b"), first.unionByName(rest).filter("hot IS NOT NULL").select(F.col("hot").alias("k"))
+    if not hot_keys.isEmpty():
         # The masks are a fixed table of 3,844 rows.
-        finer = spark.createDataFrame([(p, t, q, m) for p, t, q, m in quarter_masks(2)], "p long, t long, q int, m long")
-        members = cut(rows.join(hot_keys, "k", "left_semi").select("f1", "f2", F.shiftright("k", 32).alias("p")).distinct(), "hot-members")
+        finer = distinct.sparkSession.createDataFrame(quarter_masks(2), "p long, t long, q int, m long")
+        members = dealt(prints, [key for _, key in tables]).join(hot_keys, "k", "left_semi").select("f1", "f2", "root", F.shiftright("k", 32).alias("p"))
         quarter = F.when(F.col("q") == 0, quarters[0]).when(F.col("q") == 1, quarters[1]).when(F.col("q") == 2, quarters[2]).otherwise(quarters[3])
-        rows = members.join(F.broadcast(finer), "p").select(quarter.bitwiseAND(F.col("m")).bitwiseOR(F.shiftleft("t", 32)).alias("k"), "f1", "f2")
+        rows = members.join(F.broadcast(finer), "p").select(quarter.bitwiseAND(F.col("m")).bitwiseOR(F.shiftleft("t", 32)).alias("k"), "f1", "f2", "root")
+        links = links.unionByName(found(rows, None).select("a", "b"))
+    more = components(links).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return look_up(prints.select("node", "root"), more, "root").select("node", F.coalesce("last", "root").alias("root"))
 
 
 def one_of_similar(docs: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
@@ -264,10 +292,8 @@ def one_of_similar(docs: DataFrame, hot: int = WIDE_HOT) -> DataFrame:
     keyed = cut(docs.withColumn(row, F.struct(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))), "numbered-rows")
     prints = wide_fingerprints(keyed.select(row, "text"), row)
     distinct = cut(prints.groupBy("f1", "f2").agg(F.min(row).alias("least")).withColumn("node", F.monotonically_increasing_id()), "fingerprint-ids")
-    pairs = cut(similar_links(distinct.select("f1", "f2"), hot).distinct(), "similar")
-    a, b = (distinct.select(F.col("f1").alias(f"{x}1"), F.col("f2").alias(f"{x}2"), F.col("node").alias(x)) for x in "ab")
-    roots = components(pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b"))
-    best = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("best")).select("best.row")
+    classes = similar_classes(distinct.select("f1", "f2", "node"), hot)
+    best = distinct.join(classes, "node").groupBy("root").agg(F.min("least").alias("best")).select("best.row")
     return keyed.join(best, F.col(f"{row}.row") == best["row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
