@@ -10,7 +10,7 @@ fingerprints share a bucket. Inside a bucket only a spanning set of the links is
 distinct five-word shingles, and links at 19 or fewer differing bits, which is where it estimates a Jaccard similarity of 0.8
 (bits differ at the angle whose cosine is 2J / (1 + J), over pi). One of its four quarters then differs in at most four
 bits, and 31 masks of each quarter miss none of these: 124 tables. A bucket of up to ``WIDE_HOT``
-fingerprints (16 bytes each) is compared in one task; larger ones are split once more as above, and what then still shares a
+fingerprints (rows of 32 bytes) is compared in one task; larger ones are split once more as above, and what then still shares a
 bucket agrees on most of a quarter: copies of one text mostly, whose comparison is linear, since each linked one leaves.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; repeated rows share a
