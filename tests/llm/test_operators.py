@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -152,6 +153,28 @@ def test_quality_learns_from_long_texts_whole(spark, monkeypatch):
     assert quality.fit(docs, labels, F.lit(False)).score("good") == 0.5
 
 
+def test_quality_learns_outside_the_driver(spark):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.substring(F.md5(F.concat(F.col("id"), i)), 1, 9)))
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), words.alias("text"))
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    tracemalloc.start()
+    model = quality.fit(docs, labels, F.lit(False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.bucket.any() and peak < 8 << 20
+
+
+@pytest.mark.parametrize("rows", [1, 50, 4000, 30_000])
+def test_quality_first_by_hash(spark, rows):
+    known = spark.range(20_000, numPartitions=64).select(F.col("id").alias("doc_id"), F.xxhash64(F.lit(7), "id").alias("order"))
+    near = quality.first_by_hash(known, F.xxhash64(F.lit(7), "doc_id"), rows)
+    first = [tuple(r) for r in known.orderBy("order").limit(rows).collect()]
+    assert [tuple(r) for r in near.orderBy("order").limit(rows).collect()] == first and near.count() <= 1.2 * rows + 20
+    edge = spark.createDataFrame([(-(1 << 63),), (-1,), ((1 << 63) - 1,)], "x long")
+    assert quality.first_by_hash(edge, F.col("x"), 1).count() == 1 and quality.first_by_hash(edge, F.col("x"), 3).count() == 3
+    assert quality.first_by_hash(edge.limit(0), F.col("x"), rows).count() == 0
+
+
 PAGE = """<html><head><title>t</title><script>x("<p>no</p>")</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id="content"><h1>Head &amp; more</h1><p>First   long paragraph of the article, which goes on for a while.
 <p>Second one with <a href="/x">a link</a> inside &lt;it&gt; &eacute;.<ul><li>one<li>two</ul><div class="comments"><p>A reader says something long enough to count as text.</p></div></div>

@@ -2,7 +2,7 @@
 
 A document is the mean of learned vectors of hashed features: its words, its pairs of neighbouring words and its
 character 3- and 5-grams. A softmax over two outputs follows; all is trained by stochastic gradient descent in numpy on
-a bounded sample of labelled rows. As mean and output are linear, a trained model scores by one number a bucket, and
+a bounded sample of labelled rows, in a task: the driver gets the model alone. As mean and output are linear, a trained model scores by one number a bucket, and
 whole texts are scored by array arithmetic without a loop over words.
 
 Defined results: null and empty texts have no feature and get the score of the output bias; equal texts get equal
@@ -13,6 +13,9 @@ table gives an empty result; other input columns, whatever their names, are igno
 
 from __future__ import annotations
 
+import pickle
+import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut, map_texts, text_or_empty
+from tidewake.llm.common import cut, map_texts, slices, text_or_empty
 
 BUCKETS = 1 << 18
 GRAMS = (3, 5)
@@ -28,7 +31,7 @@ M = 0x9E3779B97F4A7C15
 #: Bounds of the training sample: its rows, taken in order of a seeded hash of the id, and their bytes in all, which end
 #: the sample at the first row beyond them, however long each row is.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 256 << 20
-#: A longer text goes to the driver as the counts of its buckets, which are fewer than BUCKETS.
+#: A longer text is kept in the sample as the counts of its buckets, which are fewer than BUCKETS.
 LONG_TEXT = 64 << 10
 PIECE = 1 << 20
 
@@ -109,7 +112,7 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs:
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     output, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    docs = [(ids, (counts / counts.sum()).astype(np.float32), label) for ids, counts, label in rows if len(ids)]
+    docs = [row for row in rows if len(row[0])]
     if len({d[2] for d in docs}) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     epochs = max(epochs, -(-100 * batch // len(docs)))  # small samples get a hundred steps too
@@ -122,7 +125,7 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs:
             lr = np.float32(rate * (1 - 0.95 * min(1.0, done / steps)))
             done += 1
             ids = np.concatenate([d[0] for d in own])
-            weight = np.concatenate([d[1] for d in own])[:, None]
+            weight = np.concatenate([(d[1] / d[1].sum()).astype(np.float32) for d in own])[:, None]
             starts = np.cumsum([0, *[len(d[0]) for d in own[:-1]]])
             hidden = np.add.reduceat(table[ids] * weight, starts, axis=0)
             z = hidden @ output + bias
@@ -145,12 +148,45 @@ def fold(key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3))
 
 
+def first_by_hash(known: DataFrame, order: Column, rows: int) -> DataFrame:
+    """The rows of known that come first in the order of a hash: ``rows`` of them and a few more (all, if there are fewer).
+
+    How far to go is found from how many rows lie in each range of the hash, ranges that grow by a fiftieth, so that
+    nothing but these counts reaches the driver, however many rows and partitions there are."""
+    part = F.floor(F.log2(F.greatest(order.cast("double") + F.lit(2.0**63), F.lit(1.0))) * 35)  # under 2,300 ranges, in the order of the hash
+    total, upto = 0, None
+    for r in sorted(known.groupBy(part.alias("range")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["range"]):
+        total, upto = total + r["n"], r["range"]
+        if total >= rows:
+            break
+    return known if upto is None else known.filter(part <= upto)
+
+
+def learn_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of a sample (label, text or else ids and counts), whose buckets are kept in a file meanwhile."""
+    sizes, labels = [], []
+    with tempfile.TemporaryFile() as file:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for r in part.to_pylist():
+                    ids, counts = counted(r["text"]) if r["text"] is not None else (np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32))
+                    file.write(np.concatenate([ids, counts]).astype(np.int32).tobytes())
+                    sizes.append(len(ids))
+                    labels.append(r["label"])
+        file.flush()
+        stored = np.memmap(file, np.int32, "r") if any(sizes) else np.zeros(0, np.int32)
+        starts = 2 * np.cumsum([0, *sizes])
+        model = learn([(stored[a : a + n], stored[a + n : a + 2 * n], label) for a, n, label in zip(starts, sizes, labels)])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
     """Learns from at most ``rows`` rows that are labelled and not held out, and SAMPLE_BYTES of them."""
     order = F.xxhash64(F.lit(7), key)
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out).select(key, F.col(label).cast("int").alias("label"))
     # Ids alone meet first, so that the bound counts rows that are there.
-    chosen = known.join(docs.select(key), key, "left_semi").orderBy(order, "label").limit(rows)
+    there = cut(known.join(docs.select(key), key, "left_semi"), "labelled-ids")
+    chosen = first_by_hash(there, order, rows).orderBy(order, "label").limit(rows)
     own = docs.select(key, text_or_empty().alias("text")).join(F.broadcast(chosen), key).orderBy(order, "label", F.md5(F.col("text").cast("binary"))).limit(rows)
 
     def make():
@@ -167,11 +203,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "qual
     place = sample.select("size", F.monotonically_increasing_id().alias("place"))  # one file, in the order above
     sizes = [r["size"] for r in place.orderBy("place").collect()]
     n = int(np.searchsorted(np.cumsum([0, *sizes]), SAMPLE_BYTES, side="right")) - 1
-    learned = []
-    for r in sample.withColumn("place", F.monotonically_increasing_id()).orderBy("place").limit(n).collect():
-        ids, counts = counted(r["text"]) if r["text"] is not None else (np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32))
-        learned.append((ids, counts, r["label"]))
-    return learn(learned)
+    if not n:
+        return learn([])
+    # The rows of a limit after a sort are one partition, in that order.
+    first = sample.withColumn("place", F.monotonically_increasing_id()).orderBy("place").limit(n).select("label", "text", "ids", "counts")
+    return pickle.loads(first.mapInArrow(learn_sample, "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
